@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,6 +28,24 @@ def text_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def settled(docs: DataFrame) -> DataFrame:
+    """The table, written first unless it comes straight from files: after a shuffle, reading it again may deal rows otherwise, and their identities with them."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    moved = re.search("Repartition|Rebalance|Join|Aggregate|Sort|Sample|Limit|Offset|Window|Union", plan)
+    return Workspace(docs.sparkSession).put(docs, "input") if moved else docs
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """(RID, own, text): the identity, all own columns as a struct, so that no name can clash, and the text, empty for null."""
+    return docs.select(F.monotonically_increasing_id().alias(RID), F.struct(*docs.columns).alias("own"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def retexted(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """The columns of docs from (own, text): the text is the new one, and n_chars counts it."""
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*(changed[c].alias(c) if c in changed else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import RID, text_rows
+from corvid.llm.common import RID, settled, text_rows
 
 #: Base phrases: a place counts where all words stand consecutively.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -58,7 +58,7 @@ def scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     notice's when SHARE of its k-grams have voted.
     """
     spark = docs.sparkSession
-    rows = text_rows(docs)
+    rows = text_rows(settled(docs))
     split = rows.select(RID, words(F.col("text")).alias("w"))
     shared = templates(spark)
     wanted = {k: [r["gram"] for r in shared.where(F.col("k") == k).select("gram").distinct().collect()] for k in (PHRASE_K, NOTICE_K)}

@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvid.llm import bpe, huffman, licenses, packing, topk, toxicity
+from corvid.llm import bpe, huffman, licenses, lines, ordermin, packing, sketch, suffix, topk, toxicity
 from corvid.llm.common import Workspace, table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.query(table(spark, sf_dir, "documents"))
+
+
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordermin.query(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -16,6 +24,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.query(table(spark, sf_dir, "documents"))
 
 
+def op5_sketch_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.query(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -24,6 +36,10 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.query(table(spark, sf_dir, "embeddings"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.query(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark).path("token-files")
     huffman.write(table(spark, sf_dir, "documents"), path)
@@ -34,7 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_toxicity, op4_license_scan, op6_byte_bpe, op7_exact_topk, op9_token_files, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_order_minhash, op3_toxicity, op4_license_scan, op5_sketch_fingerprint, op6_byte_bpe, op7_exact_topk, op8_suffix_dedup, op9_token_files, op10_packing)}
 
 ORACLES = {
     "op7_exact_topk": """

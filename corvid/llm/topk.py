@@ -9,7 +9,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import RID
+from corvid.llm.common import RID, settled
 
 #: Vectors in a block, blocks in a shard, queries in a group.
 BLOCK, SHARD, GROUP = 256, 32, 4096
@@ -119,5 +119,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
 def query(embeddings: DataFrame) -> DataFrame:
     """The 20 best other rows for each row whose vec_id is divisible by 20."""
-    vectors = quantized(embeddings)
+    vectors = quantized(settled(embeddings))
     return search(vectors, vectors.where(F.col("id") % 20 == 0))

@@ -169,7 +169,7 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents whose score is under the threshold, with their own columns."""
-    scored = score(docs, train(docs, labels))
+def keep_clean(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+    """The documents whose score is under the threshold, with their own columns. The model is trained on the labelled documents, by default the same table."""
+    scored = score(docs, train(docs if labelled is None else labelled, labels))
     return scored.where(F.col(scored.columns[-1]) < threshold).select(*docs.columns)
