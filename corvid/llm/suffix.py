@@ -118,8 +118,8 @@ def refine(rank: np.ndarray, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return p[~alone]
 
 
-def suffix_order(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
-    """The starts in the order of the length bytes from each on.
+def suffix_order(data: bytes, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts in the order of the length bytes from each on, and whether each has the same ones as the start before.
 
     Ranks by 8 bytes come from one sort. A rank and those that follow it at one and two
     times the depth, packed in a word, triple the depth; only places that still share a
@@ -143,16 +143,19 @@ def suffix_order(data: bytes, starts: np.ndarray, length: int) -> np.ndarray:
 
     while depth * 3 <= length and len(at):
         at, depth = refine(rank, at, packed(at, depth, 2 * depth)), depth * 3
-    return starts[np.argsort(packed(starts, *([length - depth] if depth * 2 >= length else [depth, length - depth])), kind="stable")]
+    keys = packed(starts, *([length - depth] if depth * 2 >= length else [depth, length - depth]))
+    order = np.argsort(keys, kind="stable")
+    return starts[order], np.concatenate([[False], keys[order[1:]] == keys[order[:-1]]])[: len(order)]
 
 
-def common_prefixes(data: bytes, order: np.ndarray, base: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+def common_prefixes(data: bytes, order: np.ndarray, same: np.ndarray, base: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
     """Bytes, up to length, that each start in sorted order shares with the one before.
 
     Kasai's walk along each context's starts: the next start shares at least one byte less
     with its predecessor than this one, so comparing goes on from there. All contexts walk
-    at once; a walk begins anew where the predecessor ends its context. 8 bytes are compared
-    at a time.
+    at once. A walk begins anew where the predecessor ends its context, and after a start that
+    is the same as its predecessor, for which of the two comes first says nothing about what
+    follows. 8 bytes are compared at a time.
     """
     w = words64(data + _PAD)
     rank = np.full(len(data) + 1, -1)
@@ -166,18 +169,20 @@ def common_prefixes(data: bytes, order: np.ndarray, base: np.ndarray, n: np.ndar
         r = rank[s]
         p = order[r - 1]
         d = np.where(cut[live] | (r == 0), 0, np.maximum(h[live] - 1, 0))
-        going = np.flatnonzero(r > 0)
+        tie = same[r]
+        d[tie] = length
+        going = np.flatnonzero((r > 0) & ~tie)
         while len(going):
             x = w[s[going] + d[going]] ^ w[p[going] + d[going]]
-            same = x == 0
-            part = going[~same]
-            x = x[~same]
+            alike = x == 0
+            part = going[~alike]
+            x = x[~alike]
             d[part] += sum((x >> np.uint64(b) == 0).astype(np.int64) for b in range(8, 64, 8))
-            going = going[same]
+            going = going[alike]
             d[going] += 8
             going = going[d[going] < length]
         d = np.minimum(d, length)
-        h[live], cut[live] = d, ends[p] | (r == 0)
+        h[live], cut[live] = d, ends[p] | (r == 0) | tie
         out[r] = d
     return out
 
@@ -190,8 +195,8 @@ def shard_repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     base = np.concatenate([[0], np.cumsum([len(x) for x in pdf.ctx])[:-1]]).astype(np.int64)
     n, data = pdf.n.to_numpy(), b"".join(pdf.ctx)
     starts = np.repeat(base, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-    order = suffix_order(data, starts, length)
-    lcp = common_prefixes(data, order, base, n, length)
+    order, same = suffix_order(data, starts, length)
+    lcp = common_prefixes(data, order, same, base, n, length)
     cls = np.cumsum(lcp < length) - 1
     at = np.searchsorted(base, order, side="right") - 1
     weight = np.bincount(cls, pdf.cnt.to_numpy()[at])

@@ -197,13 +197,13 @@ def test_suffix_order_and_prefixes():
         base = np.concatenate([[0], np.cumsum([len(c) for c in ctx])[:-1]])
         data = b"".join(ctx)
         starts = np.concatenate([b + np.arange(k) for b, k in zip(base, n)])
-        order = suffix.suffix_order(data, starts, 40)
+        order, same = suffix.suffix_order(data, starts, 40)
         strings = [data[s : s + 40] for s in order]
         assert strings == sorted(strings)
-        lcp = suffix.common_prefixes(data, order, base, n, 40)
+        lcp = suffix.common_prefixes(data, order, same, base, n, 40)
         for k in range(1, len(order)):
             x, y = strings[k - 1], strings[k]
-            assert (lcp[k] == 40) == (x == y)
+            assert (lcp[k] == 40) == same[k] == (x == y)
             if x != y:
                 assert lcp[k] == next(i for i in range(40) if x[i] != y[i])
 
