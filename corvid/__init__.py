@@ -1,0 +1 @@
+"""Document retrieval analytics as lazy Spark plans."""
