@@ -38,7 +38,7 @@ def _own(*cs: Column) -> Column:
 
 
 def _headers(h: Column) -> Column:
-    return F.transform(F.coalesce(h, F.array().cast("array<string>")), F.trim)
+    return F.transform(F.coalesce(h, F.array().cast("array<string>")), lambda x: F.trim(x))
 
 
 def chunk_path(title: Column, book: Column, chapter: Column, verse: Column, headers: Column) -> Column:

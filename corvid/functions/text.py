@@ -121,5 +121,5 @@ def chapter_info(t: Column) -> Column:
     """The chapter a page's text names: a numbered heading, a heading line, or a line of capitals among its first three lines; else null."""
     numbered = F.trim(F.regexp_extract(t, r"(?im)^(\d+\.?\s*Chapter\s*\d+|\bChapter\s+\d+[:\s]|\bSection\s+\d+[:\s]|\bArticle\s+\d+[:\s])", 1))
     heading = F.trim(F.regexp_extract(t, r"(?im)^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s*(?:Chapter|Section|Article)\s*\d+)$", 1))
-    shouted = F.filter(F.transform(F.slice(F.split(t, "\n"), 1, 3), F.trim), lambda x: (F.length(x) > 3) & (F.length(x) < 80) & (F.upper(x) == x) & (F.lower(x) != x) & x.contains(" "))
+    shouted = F.filter(F.transform(F.slice(F.split(t, "\n"), 1, 3), lambda x: F.trim(x)), lambda x: (F.length(x) > 3) & (F.length(x) < 80) & (F.upper(x) == x) & (F.lower(x) != x) & x.contains(" "))
     return F.coalesce(F.nullif(numbered, F.lit("")), F.nullif(heading, F.lit("")), F.initcap(F.get(shouted, F.lit(0))))

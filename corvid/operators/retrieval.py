@@ -82,7 +82,7 @@ def recommend(chunks: DataFrame, embeddings: DataFrame, query: list[float], term
     vectors = embeddings
     if categories:
         vectors = vectors.join(chunks.where(in_categories(F.col("categories"), categories)).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    found = top_k(scored(vectors, query, config.score_mode).select("chunk_id", "score"), config.overfetch * config.top_k, config.min_score)
+    found = top_k(scored(vectors, query, config.score_mode, None).select("chunk_id", "score"), config.overfetch * config.top_k, config.min_score)
     scores = found.select(F.col("chunk_id").alias("id"), "score")
     if config.expand and adjacency is not None:
         candidates = expand_candidates(chunks, scores, adjacency, order or [F.col("id")])

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from corvid.functions.vectors import cosine, inner_product, literal
 
 
-def scored(embeddings: DataFrame, query: list[float], mode: str = "cosine") -> DataFrame:
-    """score of each row against a query vector: the inner product, or one more in the mode one_plus_ip."""
+def scored(embeddings: DataFrame, query: list[float], mode: str = "cosine", digits: int | None = 6) -> DataFrame:
+    """score of each row against a query vector, rounded if digits are given: the inner product, or one more in the mode one_plus_ip."""
     s = inner_product(F.col("embedding"), literal(query))
-    return embeddings.withColumn("score", F.round(s + 1.0 if mode == "one_plus_ip" else s, 6))
+    s = s + 1.0 if mode == "one_plus_ip" else s
+    return embeddings.withColumn("score", s if digits is None else F.round(s, digits))
 
 
 def top_k(rows: DataFrame, k: int, min_score: float | None = None, key: str = "chunk_id") -> DataFrame:

@@ -59,7 +59,7 @@ class Tables:
 
 
 #: SQL for the same shapes.
-EMB = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 1), e AS (SELECT CAST(vec_id AS VARCHAR) AS chunk_id, vec_id, label, round(list_inner_product(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)), 6) AS score FROM embeddings)"
+EMB = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id LIMIT 1), e AS (SELECT CAST(vec_id AS VARCHAR) AS chunk_id, vec_id, label, round(list_inner_product(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)), 6) AS score, list_inner_product(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)) AS raw FROM embeddings)"
 CHUNKS = "c AS (SELECT CAST(doc_id AS VARCHAR) AS id, source AS document_id, text AS content, lang, source, [lang, source] AS categories, doc_id FROM documents)"
 META = """m AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, source, string_split(text, chr(10))[1] AS title, text AS content, lang,
   CASE WHEN doc_id % 6 = 5 THEN '' ELSE source END AS book, CASE WHEN doc_id % 4 <> 3 THEN lang END AS chapter, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 50 AS VARCHAR) END AS verse,

@@ -133,7 +133,7 @@ def categories(t: Tables):
     return t.meta.select("doc_id", joined(L.categories(*cols("book", "chapter", "section", "verse", "headers"))).alias("categories"))
 
 
-@query(f"WITH {META} SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 7 = 0 THEN id ELSE '' END, ''), nullif(array_to_string(headers, '/'), ''), array_to_string(list_filter([book, chapter, verse, section], lambda x: x IS NOT NULL AND x <> ''), '/')) AS document_id FROM m")
+@query(f"WITH {META} SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 7 = 0 THEN id ELSE '' END, ''), nullif(array_to_string(headers, '/'), ''), nullif(array_to_string(list_filter([book, chapter, verse, section], lambda x: x IS NOT NULL AND x <> ''), '/'), '')) AS document_id FROM m")
 def document_id_fallback(t: Tables):
     none = F.lit(None).cast("string")
     return t.meta.select("doc_id", L.document_id_fallback(F.when(F.col("doc_id") % 7 == 0, F.col("id")).otherwise(""), none, none, *cols("headers", "book", "chapter", "verse", "section")).alias("document_id"))
@@ -185,7 +185,7 @@ def parse_connections(t: Tables):
     return each.select("event_id", F.coalesce(own["chunk_id"], F.col("c")).alias("chunk_id"), F.coalesce(own["weight"], F.lit(1.0)).alias("weight"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_concat([doc_id % 9], generate_series(doc_id % 5, doc_id % 5 + 3)), lambda x: x >= 1 AND x <= 7))), '|') AS pages FROM documents")
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_concat([doc_id % 9], generate_series(greatest(1, doc_id % 5), least(7, doc_id % 5 + 3))), lambda x: x >= 1 AND x <= 7))), '|') AS pages FROM documents")
 def page_ranges(t: Tables):
     from corvid.sources.pdf import page_ranges as parse
 

@@ -77,9 +77,9 @@ def crawl_metrics(t: Tables):
 @query(f"SELECT page_id, sha256({CANON.format('url')}) AS id, {CANON.format('url')} AS source, 'p' || CAST(page_id % 3 AS VARCHAR) AS book, 'c' AS chapter FROM pages")
 def document_from_page(t: Tables):
     none = F.lit(None).cast("string")
-    rows = t.pages.select("page_id", F.sha2(U.canonical_url(F.col("url")), 256).alias("id"), "url", none.alias("source"), F.lit("t").alias("title"), F.col("html").alias("body"), none.alias("content"), F.array(F.concat(F.lit("p"), F.col("page_id") % 3), F.lit("c")).alias("headers"), *(none.alias(c) for c in ("book", "chapter", "verse", "section")))
+    rows = t.pages.select("page_id", F.sha2(U.canonical_url(F.col("url")), 256).alias("id"), "url", none.alias("source"), F.col("page_id").cast("string").alias("title"), F.col("html").alias("body"), none.alias("content"), F.array(F.concat(F.lit("p"), F.col("page_id") % 3), F.lit("c")).alias("headers"), *(none.alias(c) for c in ("book", "chapter", "verse", "section")))
     out = files.document_rows(rows)
-    return out.join(rows.select("page_id", "id"), "id").select("page_id", "id", "source", "book", "chapter")
+    return out.select(F.col("title").cast("long").alias("page_id"), "id", "source", "book", "chapter")
 
 
 # Scanned pages: a document's lines are its pages; every seventh line opens a chapter.

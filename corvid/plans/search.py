@@ -98,7 +98,7 @@ def keyword_score_substring(t: Tables):
 
 def ranked_sql(score: str, where: str = "TRUE") -> str:
     return f"""WITH {EMB}, {CHUNKS}, {TERMS},
-f AS (SELECT chunk_id, score FROM e JOIN c ON chunk_id = id WHERE score >= 0.01 AND {where} ORDER BY score DESC, chunk_id LIMIT 120),
+f AS (SELECT chunk_id, raw AS score FROM e JOIN c ON chunk_id = id WHERE raw >= 0.01 AND {where} ORDER BY raw DESC, chunk_id LIMIT 120),
 s AS (SELECT id, document_id, content, round({score}, 6) AS score FROM f JOIN c ON chunk_id = id),
 d AS (SELECT *, row_number() OVER (PARTITION BY document_id, lower({squashed("content")}) ORDER BY score DESC, id) AS rn FROM s WHERE score >= 0.01),
 k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, id) AS r FROM d WHERE rn = 1),
@@ -130,9 +130,9 @@ def hybrid_rank(t: Tables):
     return recommended(t, SearchConfig(hybrid=True))
 
 
-@query(f"WITH {EMB} SELECT chunk_id, round((1 - least(1, greatest(0, 0.1))) * score + 0.1 * (label / 10.0), 6) AS score FROM e")
+@query(f"WITH {EMB} SELECT chunk_id, round((1 - 0.1) * raw + 0.1 * (label / 10.0), 6) AS score FROM e")
 def hybrid_score(t: Tables):
-    rows = vector.scored(t.embedded, t.query_vector())
+    rows = vector.scored(t.embedded, t.query_vector(), digits=None)
     return rows.select("chunk_id", F.round(V.hybrid_score(F.col("score"), F.col("label") / 10.0, 0.1), 6).alias("score"))
 
 

@@ -35,8 +35,8 @@ def upsert_embeddings(t: Tables):
     return storage.upsert(t.embeddings.select("vec_id", "label"), t.labels.select(F.col("doc_id").alias("vec_id"), F.col("toxic").alias("label")), "vec_id")
 
 
-@query("""WITH j AS (SELECT user_id AS id, event_type AS status, epoch_us(ts) AS at, event_id FROM events), h AS (SELECT id, arg_min(status, (at, event_id)) AS status, min(at) AS started_at FROM j GROUP BY id),
-n AS (SELECT id, arg_max(status, (at, event_id)) AS status, max(at) AS started_at FROM j GROUP BY id) SELECT id, n.status, h.started_at FROM h JOIN n USING (id)""")
+@query("""WITH j AS (SELECT user_id AS id, event_type AS status, epoch_us(ts) AS us, event_id FROM events), h AS (SELECT id, arg_min(status, (us, event_id)) AS status, min(us) AS started_at FROM j GROUP BY id),
+n AS (SELECT id, arg_max(status, (us, event_id)) AS status, max(us) AS started_at FROM j GROUP BY id) SELECT id, n.status, h.started_at FROM h JOIN n USING (id)""")
 def upsert_jobs(t: Tables):
     j = t.events.select(F.col("user_id").alias("id"), F.col("event_type").alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
     old = j.groupBy("id").agg(F.min_by("status", F.struct("at", "event_id")).alias("status"), F.min("at").alias("started_at"))

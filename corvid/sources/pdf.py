@@ -30,10 +30,12 @@ def reading_order(blocks: DataFrame) -> DataFrame:
 
 def page_ranges(spec: Column, total: int) -> Column:
     """Sorted pages of "1,3-5,8": junk ignored, pages clamped, a reversed range counts as its start; null if none is left."""
-    part = F.transform(F.split(spec, ","), F.trim)
+    part = F.transform(F.split(spec, ","), lambda p: F.trim(p))
     low = lambda p: F.regexp_extract(p, r"^(\d+)", 1).try_cast("int")
-    high = lambda p: F.coalesce(F.regexp_extract(p, r"^\d+\s*-\s*(\d+)$", 1).try_cast("int"), low(p))
-    each = F.transform(F.filter(part, lambda p: p.rlike(r"^\d+(\s*-\s*\d+)?$")), lambda p: F.sequence(F.greatest(F.lit(1), low(p)), F.greatest(F.greatest(F.lit(1), low(p)), F.least(F.lit(total), high(p)))))
+    high = lambda p: F.regexp_extract(p, r"^\d+\s*-\s*(\d+)$", 1).try_cast("int")
+    clamped = lambda n: F.greatest(F.lit(1), F.least(n, F.lit(total)))
+    span = lambda p: F.sequence(clamped(low(p)), F.greatest(clamped(low(p)), F.least(high(p), F.lit(total))))
+    each = F.transform(F.filter(part, lambda p: p.rlike(r"^\d+(\s*-\s*\d+)?$")), lambda p: F.when(p.contains("-"), span(p)).otherwise(F.array(low(p))))
     pages = F.array_sort(F.array_distinct(F.filter(F.flatten(each), lambda n: (n >= 1) & (n <= total))))
     return F.when(F.size(pages) > 0, pages)
 
