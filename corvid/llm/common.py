@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -78,6 +79,11 @@ class Workspace:
         out._at = at
         return out
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of plans that are done with: it does so when its driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(df._at)

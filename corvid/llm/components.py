@@ -30,6 +30,8 @@ def classes(links: DataFrame, work: Workspace) -> DataFrame:
 
 #: Keys of up to so many rows are searched pair by pair where leaders have not settled them.
 SMALL = 24
+#: Leaders that a larger key draws each round.
+DRAWS = 4
 
 
 def connect(buckets: DataFrame, bodies: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace) -> DataFrame:
@@ -39,13 +41,15 @@ def connect(buckets: DataFrame, bodies: DataFrame, verify: Callable[[DataFrame],
     hold, (a, b). First every row is tested with the smallest id among its keys' leaders.
     Links found join classes, and only pairs of different classes are worth a test from
     then on. Keys of up to SMALL rows get all such pairs. A larger key tests, in every
-    round, a leader of its own against a member of each other class, drawn anew by a hash
-    of the round, until no key has a new link: so its cost stays with its rows, not their
+    round, DRAWS leaders of its own, each against a member of each other class, all drawn
+    anew by a hash of the round, until no key has a new link: so its cost stays with its rows, not their
     square.
     """
-    keyed = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size")).where("low != high")
-    shared = work.put(buckets.join(keyed.select("key", "low", "size"), "key").distinct(), "buckets")
-    held = work.put(bodies.join(shared.select("id").distinct(), "id", "left_semi"), "bodies")
+    keyed = buckets.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1")
+    shared = work.put(buckets.join(keyed, "key"), "buckets")
+    work.release()
+    held = work.put(bodies.join(shared.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "bodies")
+    work.release()
     ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     pairs = shared.where("id != low").groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
     links = tested = None
@@ -64,10 +68,11 @@ def connect(buckets: DataFrame, bodies: DataFrame, verify: Callable[[DataFrame],
         known = shared.join(root, "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
         split = known.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("key")
         known = work.put(known.join(split, "key", "left_semi"), "open")
-        draw = F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "root")
-        members = known.where(F.col("size") > SMALL).groupBy("key", "root").agg(F.min(draw).alias("m"))
-        lead = members.groupBy("key").agg(F.min("m").alias("l"))
-        pairs = members.join(lead, "key").where("root != l.root").select(F.col("l.id").alias("x"), F.col("m.id").alias("y"))
+        draws = F.array(*(F.struct(F.xxhash64("id", F.lit(DRAWS * turn + k)).alias("h"), "id", "root") for k in range(DRAWS)))
+        drawn = known.where(F.col("size") > SMALL).select("key", "root", F.posexplode(draws).alias("draw", "m"))
+        members = drawn.groupBy("key", "root", "draw").agg(F.min("m").alias("m"))
+        lead = members.groupBy("key", "draw").agg(F.min("m").alias("l"))
+        pairs = members.join(lead, ["key", "draw"]).where("root != l.root").select(F.col("l.id").alias("x"), F.col("m.id").alias("y"))
         if turn == 0:
             few = known.where(F.col("size") <= SMALL)
             one, other = few.select("key", F.col("id").alias("x"), F.col("root").alias("rx")), few.select("key", F.col("id").alias("y"), F.col("root").alias("ry"))

@@ -167,8 +167,8 @@ def verify(edits: int):
 
 def line_links(docs: DataFrame, work: Workspace, edits: int = EDITS, words: int = WORDS) -> DataFrame:
     """Links (a, b) between the ids of different lines of enough words that lie within the edits."""
-    bodies = _long_lines(docs, words, edits, keys=False).dropDuplicates(["id"])
-    return connect(_long_lines(docs, words, edits, keys=True), bodies, verify(edits), work)
+    keys = work.put(_long_lines(docs, words, edits, keys=True), "keys")
+    return connect(keys, _long_lines(docs, words, edits, keys=False), verify(edits), work)
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from corvid.llm.common import RID, Workspace, settled, text_rows
 from corvid.llm.components import classes, connect
 
-#: Words in a shingle, least similarity, samples, and minimum shingles in a sample. Two texts of similarity 0.8 agree in a sample with a chance of about 0.8 ** 3, so none of 24 samples shows them with a chance of 4e-8.
-SHINGLE, SIMILAR, SAMPLES, MINIMA = 5, 0.8, 24, 3
+#: Words in a shingle, least similarity, samples, and minimum shingles in a sample. Two texts of similarity 0.8 agree in a sample with a chance of about 0.8 ** 3, so none of 16 samples shows them with a chance of 1e-5.
+SHINGLE, SIMILAR, SAMPLES, MINIMA = 5, 0.8, 16, 3
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 

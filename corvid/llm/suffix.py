@@ -187,11 +187,12 @@ def common_prefixes(data: bytes, order: np.ndarray, same: np.ndarray, base: np.n
     return out
 
 
-_RANGES = f"{RID} long, a long, b long, f long, m int, sub int, digest binary, cnt long"
+_RANGES = f"{RID} long, a long, b long, f long, sub int, slot int, digests binary, rids binary, starts binary, alone binary"
+_COLUMNS = [c.split()[0] for c in _RANGES.split(", ")]
 
 
 def shard_repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Of a shard's contexts: ranges a to b of starts whose string occurs again; and, where the gram has several shards (m), each distinct string's digest in sorted order, with a start."""
+    """Of a shard's contexts: ranges a to b of starts whose string occurs again; and, where the gram has several shards (m), the distinct strings' digests in sorted order, packed with a start of each, in m slots by digest."""
     base = np.concatenate([[0], np.cumsum([len(x) for x in pdf.ctx])[:-1]]).astype(np.int64)
     n, data = pdf.n.to_numpy(), b"".join(pdf.ctx)
     starts = np.repeat(base, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
@@ -208,31 +209,35 @@ def shard_repeats(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
         head = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 1) | (np.diff(where) != 0)]))
         a = own[head] - base[where[head]] + first[where[head]]
         size = np.diff(np.append(head, len(own)))
-        out.append(pd.DataFrame({RID: rid[where[head]], "a": a, "b": a + size - 1, "f": 0, "m": 0, "sub": 0, "digest": None, "cnt": 0}))
-    m = pdf.m.to_numpy()
+        out.append(pd.DataFrame({RID: rid[where[head]], "a": a, "b": a + size - 1, "f": 0, "sub": 0, "slot": 0}))
+    m, f, sub = (pdf[c].to_numpy() for c in ("m", "f", "sub"))
     lead = np.flatnonzero((lcp < length) & (m[at] > 1))
     if len(lead):
         s, where = order[lead], at[lead]
-        a = s - base[where] + first[where]
-        out.append(pd.DataFrame({RID: rid[where], "a": a, "b": a, "f": pdf.f.to_numpy()[where], "m": m[where], "sub": pdf["sub"].to_numpy()[where], "digest": [xxhash.xxh3_128_digest(data[x : x + length]) for x in s.tolist()], "cnt": weight[cls[lead]].astype(int)}))
-    return pd.concat(out)[[c.split()[0] for c in _RANGES.split(", ")]] if out else pd.DataFrame({c.split()[0]: [] for c in _RANGES.split(", ")})
+        digests = np.array([xxhash.xxh3_128_digest(data[x : x + length]) for x in s.tolist()], "S16")
+        slot = (np.frombuffer(digests.tobytes(), "<u8")[::2] % m[where].astype(np.uint64)).astype(int)
+        alone = (weight[cls[lead]] == 1).astype(np.uint8)
+        place = s - base[where] + first[where]
+        by = np.lexsort((digests, slot, sub[where], f[where]))
+        keys = np.stack([f[where], sub[where], slot])[:, by]
+        for own in np.split(by, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1):
+            k = own[0]
+            out.append(pd.DataFrame([{RID: 0, "a": 0, "b": 0, "f": f[where[k]], "sub": sub[where[k]], "slot": slot[k], "digests": digests[own].tobytes(), "rids": rid[where[own]].tobytes(), "starts": place[own].tobytes(), "alone": alone[own].tobytes()}]))
+    return pd.concat(out).reindex(columns=_COLUMNS) if out else pd.DataFrame({c: [] for c in _COLUMNS})
 
 
 def merge_shards(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one gram's strings in several shards: the starts that are alone in theirs and found in another, each shard's digests looked up in the others' by binary search."""
-    lists = []
-    for _, g in pdf.groupby("sub"):
-        digests = np.array([d.hex() for d in g.digest])
-        order = np.argsort(digests, kind="stable")
-        lists.append((digests[order], order, g))
+    """Of one gram's strings in several shards: the starts that are alone in theirs and found in another, each shard's sorted digests looked up in the others' by binary search."""
+    lists = [np.frombuffer(d, "S16") for d in pdf.digests]
     hits = []
-    for k, (own, order, g) in enumerate(lists):
+    for k, own in enumerate(lists):
         found = np.zeros(len(own), bool)
-        for j, (other, _, _) in enumerate(lists):
-            if j != k and len(other):
+        for j, other in enumerate(lists):
+            if j != k:
                 found |= other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own
-        got = g.iloc[order[found]]
-        hits.append(got[got.cnt == 1][[RID, "a", "b"]])
+        found &= np.frombuffer(pdf.alone.iloc[k], np.uint8) == 1
+        start = np.frombuffer(pdf.starts.iloc[k], np.int64)[found]
+        hits.append(pd.DataFrame({RID: np.frombuffer(pdf.rids.iloc[k], np.int64)[found], "a": start, "b": start}))
     return pd.concat(hits)
 
 
@@ -265,8 +270,8 @@ def repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram: int =
     shards = max(1, -(-total // PER_SHARD))
     sharded = cut_out.withColumn("shard", F.pmod(F.xxhash64("f", "sub"), F.lit(shards)).cast("int"))
     sorted_ = work.put(sharded.groupBy("shard").applyInPandas(lambda pdf: _in_parts(pdf, length), _RANGES), "sorted")
-    alone = sorted_.where("digest is null").select(RID, "a", "b")
-    several = sorted_.where("digest is not null").withColumn("slot", F.pmod(F.xxhash64("digest"), F.col("m")).cast("int"))
+    alone = sorted_.where("digests is null").select(RID, "a", "b")
+    several = sorted_.where("digests is not null")
     merged = several.groupBy("f", "slot").applyInPandas(merge_shards, f"{RID} long, a long, b long")
     return copied.unionByName(alone).unionByName(merged)
 
