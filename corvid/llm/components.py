@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +29,24 @@ def classes(links: DataFrame, work: Workspace) -> DataFrame:
         label = step.select("id", "root")
 
 
+def merged(root: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
+    """The classes (id, root) with more links: only the classes that these join are worked on."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known = root.unionByName(ends.join(root, "id", "left_anti").select("id", F.col("id").alias("root")))
+    of = lambda c: known.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+    joins = links.join(of("a"), "a").join(of("b"), "b").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    step = classes(joins, work).select(F.col("id").alias("root"), F.col("root").alias("new"))
+    return work.put(known.join(step, "root", "left").select("id", F.coalesce("new", "root").alias("root")), "classes")
+
+
 #: Keys of up to so many rows are searched pair by pair where leaders have not settled them.
 SMALL = 24
 #: Leaders that a larger key draws each round.
-DRAWS = 4
+DRAWS = 16
 
 
-def connect(buckets: DataFrame, bodies: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace) -> DataFrame:
-    """Verified links (a, b) among rows (key, id) that share a key.
+def connect(buckets: DataFrame, bodies: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) among rows (key, id) that share a key, and (id, root) of the classes they make.
 
     bodies has (id, body); verify takes pairs (a, b, body_a, body_b) and returns those that
     hold, (a, b). First every row is tested with the smallest id among its keys' leaders.
@@ -52,19 +63,21 @@ def connect(buckets: DataFrame, bodies: DataFrame, verify: Callable[[DataFrame],
     work.release()
     ordered = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     pairs = shared.where("id != low").groupBy(F.col("id").alias("b")).agg(F.min("low").alias("a")).select("a", "b")
-    links = tested = None
-    turn = 0
+    found, tries, turn = [], [], 0
+    root = pairs.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)
     while True:
         pairs = work.put(pairs, "pairs")
-        if not pairs.take(1):
-            return links if links is not None else pairs
+        tries.append(pairs)
+        more = bool(pairs.take(1))
+        if not more:
+            found.append(pairs)
+            break
         sides = pairs.join(held.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a").join(held.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b")
         new = work.put(verify(sides.select("a", "b", "body_a", "body_b")), "links")
-        tested = pairs if tested is None else work.put(tested.unionByName(pairs), "tested")
-        links = new if links is None else work.put(links.unionByName(new), "links")
+        found.append(new)
         if turn > 1 and not new.take(1):
-            return links
-        root = classes(links, work)
+            break
+        root = merged(root, new, work)
         known = shared.join(root, "id", "left").select("key", "id", "size", F.coalesce("root", "id").alias("root"))
         split = known.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other")).where("one != other").select("key")
         known = work.put(known.join(split, "key", "left_semi"), "open")
@@ -77,5 +90,6 @@ def connect(buckets: DataFrame, bodies: DataFrame, verify: Callable[[DataFrame],
             few = known.where(F.col("size") <= SMALL)
             one, other = few.select("key", F.col("id").alias("x"), F.col("root").alias("rx")), few.select("key", F.col("id").alias("y"), F.col("root").alias("ry"))
             pairs = pairs.unionByName(one.join(other, "key").where("x < y and rx != ry").select("x", "y"))
-        pairs = pairs.select(*ordered).distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = pairs.select(*ordered).distinct().join(reduce(DataFrame.unionByName, tries), ["a", "b"], "left_anti")
         turn += 1
+    return reduce(DataFrame.unionByName, found), root

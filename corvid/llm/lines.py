@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm.common import RID, Workspace, retexted, settled, text_rows, whole_rows
-from corvid.llm.components import classes, connect
+from corvid.llm.components import connect
 
 #: Most word edits between two lines, and the fewest words of a line that is compared at all: 2 of 10 keep a similarity of 0.8. Shorter lines match when their words are equal.
 EDITS, WORDS = 2, 10
@@ -165,8 +165,8 @@ def verify(edits: int):
     return lambda pairs: pairs.mapInArrow(run, "a binary, b binary")
 
 
-def line_links(docs: DataFrame, work: Workspace, edits: int = EDITS, words: int = WORDS) -> DataFrame:
-    """Links (a, b) between the ids of different lines of enough words that lie within the edits."""
+def line_links(docs: DataFrame, work: Workspace, edits: int = EDITS, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between the ids of different lines of enough words that lie within the edits, and their classes."""
     keys = work.put(_long_lines(docs, words, edits, keys=True), "keys")
     return connect(keys, _long_lines(docs, words, edits, keys=False), verify(edits), work)
 
@@ -182,8 +182,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> Dat
     docs = settled(docs)
     work = Workspace(docs.sparkSession)
     at = work.put(occurrences(docs), "lines")
-    links = line_links(docs, work, edits, words)
-    root = classes(links, work)
+    links, root = line_links(docs, work, edits, words)
     ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
     own = at.groupBy("id").agg(F.min(F.struct("doc_id", RID, "line_no")).alias("own")).join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = own.groupBy("root").agg(F.min("own").alias("first"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm.common import RID, Workspace, settled, text_rows
-from corvid.llm.components import classes, connect
+from corvid.llm.components import connect
 
 #: Words in a shingle, least similarity, samples, and minimum shingles in a sample. Two texts of similarity 0.8 agree in a sample with a chance of about 0.8 ** 3, so none of 16 samples shows them with a chance of 1e-5.
 SHINGLE, SIMILAR, SAMPLES, MINIMA = 5, 0.8, 16, 3
@@ -168,8 +168,7 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, samples: int = SAMPLES
     lead = sketched.groupBy("digest").agg(F.min(F.struct(RID, "keys")).alias("s")).select("digest", F.col(f"s.{RID}").alias("id"), "s.keys")
     lead = work.put(lead, "distinct")
     buckets = lead.select("id", F.explode("keys").alias("key")).select("key", "id")
-    links = connect(buckets, rows.select(F.col(RID).alias("id"), F.col("text").alias("body")), verify(least), work)
-    root = classes(links, work)
+    _, root = connect(buckets, rows.select(F.col(RID).alias("id"), F.col("text").alias("body")), verify(least), work)
     known = lead.select("digest", "id").join(root, "id", "left").select("digest", F.coalesce("root", "id").alias("root"))
     return sketched.select(RID, "doc_id", "digest").join(known, "digest").select(RID, "doc_id", "root")
 
