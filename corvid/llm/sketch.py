@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvid.llm.common import RID, Workspace, partitions, settled, text_rows
 
 #: Cells in each of the three subtables of the first sketch, how much larger each retry's are, and passes over the subtables while peeling.
-CELLS, LARGER, PASSES = 8, 4, 4
+CELLS, LARGER, PASSES = 8, 4, 3
 #: A paragraph ends with its line, and within a long line after a sentence.
 _END = r"\n|(?<=[.!?])\s+"
 
@@ -103,33 +103,47 @@ def fingerprint(sketch: DataFrame) -> DataFrame:
     return sketch.groupBy(RID, "v").agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["s"]), ".").alias("fingerprint"))
 
 
+def first_cells(x: Column, y: Column) -> Column:
+    """Cells to begin with for the difference of two versions: its size is estimated from the digests of a sixteenth of the hash space."""
+    part = lambda c: F.array_distinct(F.filter(c, lambda d: F.pmod(d, F.lit(16)) == 0))
+    common = F.size(F.array_intersect(part(x), part(y))) * 16
+    differ = F.greatest(F.abs(F.size(x) - F.size(y)), F.size(x) + F.size(y) - 2 * common)
+    # Each subtable gets half as many cells as keys are expected; the power of LARGER above that.
+    steps = F.ceil(F.log(float(LARGER), F.greatest(F.lit(1.0), differ / (2.0 * CELLS))))
+    return (F.pow(F.lit(float(LARGER)), steps) * CELLS).cast("long")
+
+
 def query(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id).
 
     Likeness is the share of paragraphs in common: those that differ come from peeling the
-    difference of two sketches. Pairs whose difference does not peel are sketched again with
-    more cells until all have. Two texts without paragraphs are alike (1). A document alone
-    is its own next.
+    difference of two sketches. A pair begins with the cells that an estimate of its
+    difference asks for; one that does not peel is sketched again with more, until all have.
+    Two texts without paragraphs are alike (1). A document alone is its own next.
     """
     spark = docs.sparkSession
     work = Workspace(spark)
     rows = versions(settled(docs), work)
     n = partitions(spark)
-    pending, cells, solved, prints = rows.select(RID, "a", "b", "c"), CELLS, [], None
+    basis = sketches(elements(rows.select(RID, "a", "b", F.array().cast("array<bigint>").alias("c")).repartition(n, RID)), CELLS)
+    prints = work.put(fingerprint(basis).groupBy(RID).agg(*(F.max(F.when(F.col("v") == k, F.col("fingerprint"))).alias(x) for k, x in enumerate(("fingerprint", "edited_fingerprint")))), "prints")
+    pending = rows.select(RID, "a", "b", "c", first_cells(F.col("a"), F.col("b")).alias("s1"), first_cells(F.col("a"), F.col("c")).alias("s2"))
+    cells, solved = CELLS, []
     while True:
-        keyed = elements(pending.repartition(n, RID))
-        sketch = sketches(keyed, cells)
-        if prints is None:
-            wide = fingerprint(sketch.where("v < 2")).groupBy(RID).agg(*(F.max(F.when(F.col("v") == k, F.col("fingerprint"))).alias(x) for k, x in enumerate(("fingerprint", "edited_fingerprint"))))
-            prints = work.put(wide, "prints")
-        peeled = peel(subtract(sketch), cells)
+        # A pair that is solved, or has its turn later, is a version less itself, which leaves no cell.
+        turn = pending.where((F.col("s1") == cells) | (F.col("s2") == cells)).select(RID, "a", F.when(F.col("s1") == cells, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(F.col("s2") == cells, F.col("c")).otherwise(F.col("a")).alias("c"))
+        peeled = peel(subtract(sketches(elements(turn.repartition(n, RID)), cells)), cells)
         done = work.put(peeled.groupBy(RID, "pair").agg(F.count(F.when(F.col("cell") >= 0, 1)).alias("left"), F.count(F.when((F.col("cell") < 0) & (F.col("n") != 0), 1)).alias("differ")), f"peeled-{cells}")
         solved.append(done.where("left = 0").select(RID, "pair", "differ"))
-        failed = done.where("left > 0").select(RID).distinct()
-        if not failed.take(1):
+        failed = done.where("left > 0").groupBy(RID).agg(*(F.max((F.col("pair") == k).cast("int")).alias(f"p{k}") for k in (1, 2)))
+        again = [F.when(F.col(f"p{k}") == 1, F.lit(cells * LARGER)).when(F.col(f"s{k}") > cells, F.col(f"s{k}")).otherwise(F.lit(0)).cast("long").alias(f"s{k}") for k in (1, 2)]
+        pending = pending.join(failed, RID, "left").select(RID, "a", "b", "c", *again).where("s1 > 0 or s2 > 0")
+        pending = work.put(pending, f"pending-{cells}")
+        work.release()
+        ahead = pending.agg(F.min(F.least(F.when(F.col("s1") > 0, F.col("s1")), F.when(F.col("s2") > 0, F.col("s2")))).alias("s")).first()["s"]
+        if ahead is None:
             break
-        pending = work.put(pending.join(failed, RID, "left_semi"), f"pending-{cells}")
-        cells *= LARGER
+        cells = ahead
     found = reduce(DataFrame.unionByName, solved).groupBy(RID).agg(*(F.max(F.when(F.col("pair") == k, F.col("differ"))).alias(f"d{k}") for k in (1, 2)))
     count = {x: F.size(F.array_distinct(x)) for x in "abc"}
 
