@@ -181,8 +181,8 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """The documents with their own columns, the first of each class."""
+    """The documents with their own columns, one of each class: that of the smallest doc_id (null first), then of the first row."""
     docs = settled(docs)
-    first = near_classes(docs, least).where(F.col(RID) == F.col("root")).select(RID)
+    first = near_classes(docs, least).groupBy("root").agg(F.min(F.struct("doc_id", RID)).alias("f")).select(f"f.{RID}")
     wide = docs.select(F.monotonically_increasing_id().alias(RID), F.struct(*docs.columns).alias("own"))
     return wide.join(first, RID, "left_semi").select("own.*")
