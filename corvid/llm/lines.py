@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,6 +15,8 @@ from corvid.llm.components import connect
 
 #: Most word edits between two lines, and the fewest words of a line that is compared at all: 2 of 10 keep a similarity of 0.8. Shorter lines match when their words are equal.
 EDITS, WORDS = 2, 10
+#: Segments of a line where too many share one of edits + 1: all but as many as the edits must agree together.
+FINER = 5, 9
 
 
 def segments(n: int, edits: int) -> list[tuple[int, int]]:
@@ -44,15 +48,41 @@ def probes(n: int, edits: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-_PROBES: dict[tuple[int, int], list[tuple[int, int, int, int]]] = {}
+def joint_probes(n: int, edits: int, parts: int) -> list[tuple[int, tuple[int, ...], tuple[tuple[int, int], ...]]]:
+    """(length, segments left out, stretches): what a line of n words can share with a line of that length, n words or less, that is cut into so many segments.
+
+    Two lines within the edits agree on all segments but as many as the edits. The shift of
+    the places that follow changes at a segment that is left out only, all changes together
+    by no more than the edits, and ends at the difference of the lengths.
+    """
+    out = {}
+    for length in range(max(0, n - edits), n + 1):
+        cut = segments(length, parts - 1)
+        for shifts in product(range(-edits, edits + 1), repeat=edits):
+            path = (0, *shifts)
+            if path[-1] != n - length or sum(abs(y - x) for x, y in zip(path, path[1:], strict=False)) > edits:
+                continue
+            for gone in combinations(range(parts), edits):
+                own = tuple((at + path[sum(g < k for g in gone)], size) for k, (at, size) in enumerate(cut) if k not in gone)
+                if all(p >= 0 and p + size <= n for p, size in own):
+                    out[length, gone, own] = None
+    return list(out)
 
 
-def line_keys(words: list[str], edits: int) -> list[int]:
-    """64-bit keys of all stretches that a line is found by. Its own segments, those of length n and no shift, are among them."""
+_PROBES: dict[tuple[int, int, int], list] = {}
+
+
+def line_keys(words: list[str], edits: int, parts: int | None = None) -> list[int]:
+    """64-bit keys of all stretches that a line is found by, its own segments, those of length n and no shift, among them; with parts, of joint ones."""
     n = len(words)
-    if (n, edits) not in _PROBES:
-        _PROBES[n, edits] = probes(n, edits)
-    return [xxhash.xxh3_64_intdigest(f"{length}|{k}|{' '.join(words[p : p + size])}") for length, k, p, size in _PROBES[n, edits]]
+    if (n, edits, parts or 0) not in _PROBES:
+        _PROBES[n, edits, parts or 0] = joint_probes(n, edits, parts) if parts else probes(n, edits)
+    known = _PROBES[n, edits, parts or 0]
+    if parts:
+        texts = (f"{length}|{gone}|{'|'.join(' '.join(words[p : p + size]) for p, size in own)}" for length, gone, own in known)
+    else:
+        texts = (f"{length}|{k}|{' '.join(words[p : p + size])}" for length, k, p, size in known)
+    return list({xxhash.xxh3_64_intdigest(t): None for t in texts})
 
 
 def within(a: list, b: list, edits: int) -> bool:
@@ -127,33 +157,36 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return text_rows(docs).mapInArrow(run, f"{RID} long, doc_id long, line_no long, id binary, n_words long")
 
 
-def _long_lines(docs: DataFrame, words: int, edits: int, keys: bool) -> DataFrame:
-    """(key, id) of each long line, or (id, body) with its words."""
+def long_lines(docs: DataFrame, words: int) -> DataFrame:
+    """(id, body) of each different line of enough words, its words joined by one space."""
 
     def run(batches):
         for batch in batches:
-            seen, out = set(), ([], [])
+            found = {}
             for text in batch.column("text"):
                 for line in text.as_py().split("\n"):
                     w = line.split()
                     if len(w) >= words:
                         body = " ".join(w)
-                        digest = xxhash.xxh3_128_digest(body)
-                        if digest not in seen:
-                            seen.add(digest)
-                            if keys:
-                                own = line_keys(w, edits)
-                                out[0].extend(own)
-                                out[1].extend([digest] * len(own))
-                            else:
-                                out[0].append(digest)
-                                out[1].append(body)
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.binary())], ["key", "id"])
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.string())], ["id", "body"])
-
-    return text_rows(docs).select("text").mapInArrow(run, "key long, id binary" if keys else "id binary, body string")
+                        found[xxhash.xxh3_128_digest(body)] = body
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], ["id", "body"])
+
+    return text_rows(docs).select("text").mapInArrow(run, "id binary, body string").dropDuplicates(["id"])
+
+
+def keyed(edits: int, parts: int | None = None):
+    """From (id, body) to (key, id), the keys of each line."""
+
+    def run(batches):
+        for batch in batches:
+            keys, ids = [], []
+            for digest, body in zip(batch.column("id").to_pylist(), batch.column("body"), strict=True):
+                own = line_keys(body.as_py().split(" "), edits, parts)
+                keys.extend(own)
+                ids.extend([digest] * len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ids, pa.binary())], ["key", "id"])
+
+    return lambda bodies: bodies.select("id", "body").mapInArrow(run, "key long, id binary")
 
 
 def verify(edits: int):
@@ -167,8 +200,9 @@ def verify(edits: int):
 
 def line_links(docs: DataFrame, work: Workspace, edits: int = EDITS, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between the ids of different lines of enough words that lie within the edits, and their classes."""
-    keys = work.put(_long_lines(docs, words, edits, keys=True), "keys")
-    return connect(keys, _long_lines(docs, words, edits, keys=False), verify(edits), work)
+    bodies = work.put(long_lines(docs, words), "texts")
+    keys = work.put(keyed(edits)(bodies), "keys")
+    return connect([keys, *(keyed(edits, parts) for parts in FINER)], bodies, verify(edits), work)
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> DataFrame:

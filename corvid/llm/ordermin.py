@@ -13,6 +13,8 @@ from corvid.llm.components import connect
 
 #: Words in a shingle, least similarity, samples, and minimum shingles in a sample. Two texts of similarity 0.8 agree in a sample with a chance of about 0.8 ** 3, so none of 16 samples shows them with a chance of 1e-5.
 SHINGLE, SIMILAR, SAMPLES, MINIMA = 5, 0.8, 16, 3
+#: Where too many texts share a key: samples of twice the minima, for texts of SHORT shingles or more; shorter ones, and those a little longer, keep their keys.
+FINER_SAMPLES, SHORT = 48, 30
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -147,6 +149,28 @@ def verify(least: float):
     return lambda pairs: pairs.mapInArrow(run, "a long, b long")
 
 
+def finer(samples: int, minima: int, least: float):
+    """From (id, body) to (key, id). Of two texts within the similarity, both have SHORT shingles or neither is longer than SHORT / least."""
+
+    def run(batches):
+        for batch in batches:
+            keys, ids = [], []
+            for k, body in zip(batch.column("id").to_pylist(), batch.column("body"), strict=True):
+                text, own = body.as_py(), []
+                n = max(1, len(text.split()) - SHINGLE + 1)
+                if n <= SHORT / least:
+                    own.append(sketch(text, samples, minima))
+                if n >= SHORT:
+                    own.append(sketch(text, FINER_SAMPLES, 2 * minima))
+                own = np.unique(np.concatenate(own))
+                keys.append(own)
+                ids.append(np.full(len(own), k, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
+
+    return lambda bodies: bodies.select("id", "body").mapInArrow(run, "key long, id long")
+
+
 def near_classes(docs: DataFrame, least: float = SIMILAR, samples: int = SAMPLES, minima: int = MINIMA) -> DataFrame:
     """(RID, doc_id, root): a row for each document with the RID of the first of its class, by RID.
 
@@ -167,8 +191,8 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, samples: int = SAMPLES
     sketched = work.put(rows.mapInArrow(run, f"{RID} long, doc_id long, digest binary, keys array<long>"), "sketches")
     lead = sketched.groupBy("digest").agg(F.min(F.struct(RID, "keys")).alias("s")).select("digest", F.col(f"s.{RID}").alias("id"), "s.keys")
     lead = work.put(lead, "distinct")
-    buckets = lead.select("id", F.explode("keys").alias("key")).select("key", "id")
-    _, root = connect(buckets, rows.select(F.col(RID).alias("id"), F.col("text").alias("body")), verify(least), work)
+    buckets = lead.select("id", F.explode(F.array_distinct("keys")).alias("key")).select("key", "id")
+    _, root = connect([buckets, finer(samples, minima, least)], rows.select(F.col(RID).alias("id"), F.col("text").alias("body")), verify(least), work)
     known = lead.select("digest", "id").join(root, "id", "left").select("digest", F.coalesce("root", "id").alias("root"))
     return sketched.select(RID, "doc_id", "digest").join(known, "digest").select(RID, "doc_id", "root")
 

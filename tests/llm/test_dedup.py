@@ -3,7 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
-from corvid.llm import lines, ordermin, suffix
+from corvid.llm import components, lines, ordermin, suffix
 from corvid.llm.common import Workspace
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -38,14 +38,39 @@ def test_within_edited():
 
 def test_close_lines_share_a_key():
     rng = random.Random(2)
-    for _ in range(3000):
+    for turn in range(3000):
         a = [rng.choice("abcdefgh") for _ in range(rng.randrange(10, 30))]
         b = list(a)
         for _ in range(rng.randrange(1, 3)):
             k = rng.randrange(len(b))
             b[k : k + rng.randrange(2)] = [rng.choice("abcdefgh")] * rng.randrange(2)
         if len(b) >= 10 and edit_distance(a, b) <= 2:
-            assert set(lines.line_keys(a, 2)) & set(lines.line_keys(b, 2))
+            for parts in (None, *lines.FINER) if turn < 300 else (None,):
+                assert set(lines.line_keys(a, 2, parts)) & set(lines.line_keys(b, 2, parts))
+
+
+def test_large_keys_are_searched_to_the_end(spark, monkeypatch):
+    """Pairs of close lines and texts among many that share a key with all of them and are close to no other."""
+    monkeypatch.setattr(components, "SMALL", 4), monkeypatch.setattr(components, "DRAWS", 1), monkeypatch.setattr(components, "BLOCK", 7)
+    rng = random.Random(9)
+    same, docs, want = [f"w{k}" for k in range(8)], [], set()
+    for k in range(20):
+        body = [*same, *(str(rng.randrange(10**6)) for _ in range(9))]
+        docs += [(2 * k, " ".join(body)), (2 * k + 1, " ".join([*body[:10], "new", *body[10:]]))]
+        want.add((2 * k, 2 * k + 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = defaultdict(list)
+    for r in lines.query(df).collect():
+        got[r["class_id"]].append(r["doc_id"])
+    assert {tuple(sorted(g)) for g in got.values()} == want
+    passage, docs = [f"w{k}" for k in range(40)], []
+    for k in range(20):
+        body = [*passage, *(str(rng.randrange(10**6)) for _ in range(70))]
+        docs += [(2 * k, " ".join(body)), (2 * k + 1, " ".join([*body[:60], "new", *body[60:]]))]
+    got = defaultdict(list)
+    for r in ordermin.query(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[r["class_id"]].append(r["doc_id"])
+    assert {tuple(sorted(g)) for g in got.values()} == want
 
 
 def groups(n, links):
