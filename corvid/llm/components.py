@@ -48,7 +48,7 @@ BLOCK = 512
 
 
 def connect(levels: list[DataFrame | Callable[[DataFrame], DataFrame]], bodies: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) among rows (key, id) that share a key, and (id, root) of the classes they make.
+    """Verified links (a, b) among rows (key, id) that share a key, enough of them to make the classes but not all, and (id, root) of the classes.
 
     bodies has (id, body), an id once; verify takes pairs (a, b, body_a, body_b) and returns
     those that hold, (a, b). The first level is the rows (key, id), an id once a key; each

@@ -10,8 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import RID, Workspace, retexted, settled, text_rows, whole_rows
-from corvid.llm.components import connect
+from corvid.llm.common import RID, Workspace, partitions, retexted, settled, text_rows, whole_rows
+from corvid.llm.components import BLOCK, connect
 
 #: Most word edits between two lines, and the fewest words of a line that is compared at all: 2 of 10 keep a similarity of 0.8. Shorter lines match when their words are equal.
 EDITS, WORDS = 2, 10
@@ -198,11 +198,66 @@ def verify(edits: int):
     return lambda pairs: pairs.mapInArrow(run, "a binary, b binary")
 
 
+def block_links(edits: int):
+    """From rows (root, p, q, own, id, body) sorted by root, p, q to (id, links): pairs of block p and block q of a class that lie within the edits."""
+
+    def pairs(p: int, q: int, rows: list) -> dict:
+        found = {}
+        one = sorted((len(w), d, w) for own, d, w in rows if own == p)
+        other = one if p == q else sorted((len(w), d, w) for own, d, w in rows if own == q)
+        start = 0
+        for k, (n, a, x) in enumerate(one):
+            if p == q:
+                start = k + 1
+            else:
+                while start < len(other) and other[start][0] < n - edits:
+                    start += 1
+            for m, b, y in other[start:]:
+                if m > n + edits:
+                    break
+                if within(x, y, edits):
+                    found[a], found[b] = found.get(a, 0) + 1, found.get(b, 0) + 1
+        return found
+
+    def run(batches):
+        at, rows = None, []
+        for batch in batches:
+            ids, n = [], []
+            for root, p, q, own, digest, body in zip(*(batch.column(c).to_pylist() for c in ("root", "p", "q", "own", "id", "body")), strict=True):
+                if at != (root, p, q):
+                    if rows:
+                        found = pairs(*at[1:], rows)
+                        ids += found
+                        n += found.values()
+                    at, rows = (root, p, q), []
+                rows.append((own, digest, body.split(" ")))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(n, pa.int64())], ["id", "links"])
+        if rows:
+            found = pairs(*at[1:], rows)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["id", "links"])
+
+    return run
+
+
+def link_counts(bodies: DataFrame, root: DataFrame, edits: int) -> DataFrame:
+    """(id, links): the other lines within the edits of each line that has any.
+
+    Such lines are of one class, so all pairs of a class are verified, in blocks of BLOCK
+    lines and each pair once: no pair is written, only counts.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    cut = root.join(root.groupBy("root").agg(F.count("*").alias("size")), "root").withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("far", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = cut.join(bodies, "id").select("root", F.least("own", "far").alias("p"), F.greatest("own", "far").alias("q"), "own", "id", "body")
+    rows = rows.repartition(partitions(bodies.sparkSession), "root", "p", "q").sortWithinPartitions("root", "p", "q")
+    return rows.mapInArrow(block_links(edits), "id binary, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
 def line_links(docs: DataFrame, work: Workspace, edits: int = EDITS, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) between the ids of different lines of enough words that lie within the edits, and their classes."""
+    """(id, links), how many different lines of enough words lie within the edits of each such line, and the classes (id, root) that these links make."""
     bodies = work.put(long_lines(docs, words), "texts")
     keys = work.put(keyed(edits)(bodies), "keys")
-    return connect([keys, *(keyed(edits, parts) for parts in FINER)], bodies, verify(edits), work)
+    _, root = connect([keys, *(keyed(edits, parts) for parts in FINER)], bodies, verify(edits), work)
+    return work.put(link_counts(bodies, root, edits), "counts"), root
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> DataFrame:
@@ -210,14 +265,13 @@ def line_classes(docs: DataFrame, edits: int = EDITS, words: int = WORDS) -> Dat
 
     Lines are of one class when their words are equal or links connect them; class_id is the
     smallest digest in it, in hexadecimal. keep holds for the first line of a class, by
-    doc_id (null first), row and line. links counts the other texts that a line's text was
-    verified against. Blank lines are no part of any class.
+    doc_id (null first), row and line. links counts all other texts within the edits of a
+    line's text. Blank lines are no part of any class.
     """
     docs = settled(docs)
     work = Workspace(docs.sparkSession)
     at = work.put(occurrences(docs), "lines")
-    links, root = line_links(docs, work, edits, words)
-    ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
+    ends, root = line_links(docs, work, edits, words)
     own = at.groupBy("id").agg(F.min(F.struct("doc_id", RID, "line_no")).alias("own")).join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = own.groupBy("root").agg(F.min("own").alias("first"))
     known = own.join(first, "root").join(ends, "id", "left").select("id", F.lower(F.hex("root")).alias("class_id"), "first", F.coalesce("links", F.lit(0)).alias("links"))

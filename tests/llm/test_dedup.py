@@ -122,6 +122,22 @@ def test_line_classes(spark, odd, none):
     assert lines.query(none).count() == 0 and lines.without_repeats(none).count() == 0
 
 
+def test_line_links_are_all_counted(spark, monkeypatch):
+    """Mutually close lines, and chains whose ends are not close: links of each line by brute force."""
+    rng = random.Random(10)
+    base = [[f"{k}w{j}" for j in range(14)] for k in range(4)]
+    texts = {" ".join(base[0][:5] + [x] + base[0][5:]) for x in "abc"}
+    texts |= {" ".join(varied(rng, base[k], n)) for k in range(1, 4) for n in (1, 2, 3) for _ in range(12)}
+    texts = sorted(texts)
+    words = [t.split() for t in texts]
+    want = {t: sum(i != j and edit_distance(words[i], w) <= 2 for j, w in enumerate(words)) for i, t in enumerate(texts)}
+    assert max(want.values()) > 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (512, 5):
+        monkeypatch.setattr(lines, "BLOCK", block)
+        assert {texts[r["doc_id"]]: r["links"] for r in lines.query(df).collect()} == want
+
+
 def jaccard(a, b):
     def marks(t):
         w, seen, out = t.lower().split(), Counter(), set()
