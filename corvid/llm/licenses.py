@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,14 +50,45 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "template int, label string, k int, at int, grams int, gram string")
 
 
+def chain(hits: list[tuple[int, int]]) -> tuple[int, int, int]:
+    """Length, first and last place of the longest chain of hits (place in the text, place in the template).
+
+    Both places rise from each hit to the next, so a template's k-gram counts once, and the
+    diagonal changes by at most DRIFT.
+    """
+    on: dict[int, tuple[list, list]] = {}
+    best = (0, 0, 0)
+    for place, at in sorted(hits):
+        d, own = place - at, (1, place)
+        for e in range(d - DRIFT, d + DRIFT + 1):
+            if e in on:
+                places, found = on[e]
+                k = bisect_left(places, min(place, at + e))
+                if k and found[k - 1][0] >= own[0]:
+                    own = (found[k - 1][0] + 1, found[k - 1][1])
+        places, found = on.setdefault(d, ([], []))
+        places.append(place), found.append(own)
+        if own[0] > best[0]:
+            best = (own[0], own[1], place)
+    return best
+
+
+def _chains(batches):
+    for batch in batches:
+        got = [chain([(h["place"], h["at"]) for h in hits]) for hits in batch.column("hits").to_pylist()]
+        columns = [pa.array([g[k] for g in got], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (RID, "template", "label", "k", "grams")), *columns], [RID, "template", "label", "k", "grams", "votes", "first", "last"])
+
+
 def scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spans (RID, template, label, k, first, last, votes, grams, share, exact) and the documents' (RID, doc_id, n_words).
+    """Spans (RID, template, label, k, first, last, votes, grams, share) and the documents' (RID, doc_id, n_words).
 
     A k-gram that a text shares with a template votes for the diagonal: its place in the text
     less its place in the template. Votes are summed by diagonal; diagonals of a notice that
     lie within DRIFT of the one before are one span, so inserted or lost words don't break
-    it. A phrase's span is kept when its diagonal has the vote of each of its k-grams, a
-    notice's when SHARE of its k-grams have voted.
+    it. A phrase's span is kept when its diagonal has the vote of each of its k-grams. A
+    notice's with votes enough is verified: SHARE of its k-grams must stand in the text in the
+    template's order, each counted once (see chain); votes are those then.
     """
     spark = docs.sparkSession
     rows = text_rows(settled(docs))
@@ -70,13 +103,15 @@ def scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hashes = {k: [r[0] for r in spark.createDataFrame([tuple(g.split(" ")) for g in v], ", ".join(f"{x} string" for x in "abcd"[:k])).select(hashed[k]).distinct().collect()] for k, v in wanted.items()}
     hits = placed.where(reduce(lambda x, y: x | y, (hashed[k].isin(v) for k, v in hashes.items())))
     hits = hits.select(RID, "place", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), g.alias("gram")) for k, g in gram.items()))).alias("g")).select(RID, "place", "g.k", "g.gram")
-    votes = hits.join(F.broadcast(shared), ["k", "gram"]).groupBy(RID, "template", "label", "k", "grams", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"))
+    votes = hits.join(F.broadcast(shared), ["k", "gram"]).groupBy(RID, "template", "label", "k", "grams", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.collect_list(F.when(F.col("k") == NOTICE_K, F.struct("place", "at"))).alias("hits"))
     phrases = votes.where((F.col("k") == PHRASE_K) & (F.col("votes") == F.col("grams"))).select(RID, "template", "label", "k", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("grams") + PHRASE_K - 2).alias("last"), "votes", "grams")
     by = "template", "label", "k", "grams"
     order = Window.partitionBy(RID, "template").orderBy("diagonal")
     notices = votes.where(F.col("k") == NOTICE_K).withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int"), F.lit(1)))
-    notices = notices.withColumn("span", F.sum("new").over(order)).groupBy(RID, *by, "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + NOTICE_K - 1).alias("last"))
-    notices = notices.where(F.col("votes") >= F.ceil(F.col("grams") * SHARE)).select(RID, "template", "label", "k", "first", "last", "votes", "grams")
+    notices = notices.withColumn("span", F.sum("new").over(order)).groupBy(RID, *by, "span").agg(F.sum("votes").alias("votes"), F.flatten(F.collect_list("hits")).alias("hits"))
+    enough = F.col("votes") >= F.ceil(F.col("grams") * SHARE)
+    notices = notices.where(enough).select(RID, *by, "hits").mapInArrow(_chains, f"{RID} long, template int, label string, k int, grams int, votes long, first int, last int")
+    notices = notices.where(enough).select(RID, "template", "label", "k", "first", (F.col("last") + NOTICE_K - 1).alias("last"), "votes", "grams")
     spans = phrases.unionByName(notices).withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("grams")))
     return spans, rows.select(RID, "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
 

@@ -66,6 +66,21 @@ def test_licenses_notice_with_edits(spark):
     assert got[1]["score"] == 1.0 and 0.6 < got[2]["score"] < 1 and got[1]["n_base"] == 0
 
 
+def test_licenses_repeated_piece_is_no_notice(spark):
+    """Pieces of a notice that chain by their diagonals alone, and a whole notice among them."""
+    piece = "the above copyright notice one two three "
+    isc = dict(licenses.NOTICES)["isc"]
+    rows = [(1, piece * 30), (2, piece * 30 + isc + " " + piece * 30), (3, isc)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("", 0.0), 2: ("isc", 1.0), 3: ("isc", 1.0)}
+
+
+def test_chain():
+    assert licenses.chain([(k, 5) for k in range(0, 200, 7)])[0] == 1
+    assert licenses.chain([(10 + k, k) for k in range(9)] + [(22 + k, 10 + k) for k in range(9)]) == (18, 10, 30)
+    assert licenses.chain([(10 + k, k) for k in range(9)] + [(90 + k, 10 + k) for k in range(7)])[0] == 9
+
+
 def brute_topk(rows, k, step):
     out = Counter()
     fine = [(n, i, np.floor(64 * np.array(v, float)).astype(int)) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
