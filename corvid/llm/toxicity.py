@@ -13,6 +13,8 @@ from corvid.llm.common import text_rows
 
 #: n-gram sizes, hash buckets, most training documents of each label, n-grams kept, characters per numpy block.
 SIZES, BITS, SAMPLE, KEPT, STRETCH = (3, 4, 5, 6), 20, 2000, 4096, 1 << 20
+#: Highest score of a model that was fitted on no rows of both labels.
+UNTOLD = 0.49
 _FACTOR, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
 
@@ -73,8 +75,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     Labelled rows whose crc32 of the id as text is divisible by 5 are held out. The log-count
     ratio of an n-gram scales its presence; the most telling n-grams stay. The bias is set to
-    the labels' true proportion, counted over all training rows. With no label, or one only,
-    the model is a constant.
+    the labels' true proportion, counted over all training rows. Without training rows of both
+    labels the model is a constant under 0.5: it tells no text from another, so it rejects none.
     """
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -96,6 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     y = np.array([r["toxic"] for r in rows], float)
     share = (counted.get(1, 0) + 0.5) / (sum(counted.values()) + 1)
     if not len(y) or y.min() == y.max():
+        share = min(share, UNTOLD)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
     grams = [np.frombuffer(r["grams"], "<u4") for r in rows]
     seen = [np.bincount(np.concatenate([g for g, v in zip(grams, y, strict=True) if v == k]), minlength=1 << BITS) for k in (0, 1)]

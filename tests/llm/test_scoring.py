@@ -1,4 +1,5 @@
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -26,6 +27,16 @@ def test_toxicity_edges(spark, odd, none):
     assert kept.columns == odd.columns
 
 
+def test_toxicity_keeps_documents_without_both_labels(spark, odd):
+    """No labels, none but held-out or null ones, and toxic ones alone."""
+    schema = "doc_id long, quality int, toxic int"
+    held = [k for k in range(100) if zlib.crc32(str(k).encode()) % 5 == 0]
+    for rows in ([], [(k, None, k % 2) for k in held], [(k, None, None) for k in range(12)], [(k, None, 1) for k in range(12)]):
+        labels = spark.createDataFrame(rows, schema)
+        assert toxicity.keep_clean(odd, labels).count() == odd.count()
+        assert not any(r["predicted"] for r in toxicity.query(odd, labels).collect())
+
+
 def test_score_does_not_depend_on_neighbours():
     m = toxicity.Model(toxicity.features("stupid idiot")[::2].astype(np.int64), np.ones(len(toxicity.features("stupid idiot")[::2])), -2.0)
     texts = ["", "idiot", "a" * 50, "stupid idiot", "stup", "id"]
