@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -103,93 +100,3 @@ def classes(links: DataFrame, work: Workspace) -> DataFrame:
             work.drop(both)
             return step.select("id", "root")
         label = step
-
-
-def merged(root: DataFrame, links: DataFrame, work: Workspace) -> DataFrame:
-    """The classes (id, root) with more links: only the classes that these join are worked on."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    known = root.unionByName(ends.join(root, "id", "left_anti").select("id", F.col("id").alias("root")))
-    of = lambda c: known.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-    joins = links.join(of("a"), "a").join(of("b"), "b").where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    step = classes(joins, work).select(F.col("id").alias("root"), F.col("root").alias("new"))
-    return work.put(known.join(step, "root", "left").select("id", F.coalesce("new", "root").alias("root")), "classes")
-
-
-#: Keys of up to so many rows are searched pair by pair.
-SMALL = 24
-#: Leaders that a larger key draws in a round, and rounds of them.
-DRAWS, ROUNDS = 16, 2
-#: Rows of a block where a large key's rows are compared pair by pair.
-BLOCK = 512
-
-
-def connect(levels: list[DataFrame | Callable[[DataFrame], DataFrame]], bodies: DataFrame, verify: Callable[[DataFrame], DataFrame], work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) among rows (key, id) that share a key, enough of them to make the classes but not all, and (id, root) of the classes.
-
-    bodies has (id, body), an id once; verify takes pairs (a, b, body_a, body_b) and returns
-    those that hold, (a, b). The first level is the rows (key, id), an id once a key; each
-    further one makes finer keys from (id, body), such that a pair to be found shares one of
-    them, too. First every row is tested with the smallest id of its keys. Links found join
-    classes, and only pairs of different classes are worth a test from then on. Keys of up to
-    SMALL rows get all such pairs. In a larger key DRAWS leaders are tested against a member of
-    each other class, ROUNDS times; the rows of those that still hold several classes go on to
-    the next level. After the last, such keys get all pairs of different classes, in blocks.
-    """
-    found, tries, root, turn = [], [], None, 0
-
-    def test(pairs: DataFrame) -> None:
-        nonlocal root
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        if tries:
-            pairs = pairs.join(reduce(DataFrame.unionByName, tries), ["a", "b"], "left_anti")
-        pairs = work.put(pairs, "pairs")
-        tries.append(pairs)
-        sides = pairs.join(held.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a").join(held.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b")
-        new = work.put(verify(sides.select("a", "b", "body_a", "body_b")), "links")
-        found.append(new)
-        if root is None:
-            root = new.select(F.col("a").alias("id"), F.col("b").alias("root")).limit(0)
-        if new.take(1):
-            root = merged(root, new, work)
-
-    def still_open(shared: DataFrame) -> DataFrame:
-        """(key, id, root, size) of the keys that hold several classes."""
-        known = shared.select("key", "id").join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        split = known.groupBy("key").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("size")).where("one != other").select("key", "size")
-        return work.put(known.join(split, "key"), "open")
-
-    for level in levels:
-        buckets = work.put(level(held.join(left, "id", "left_semi")), "keys") if callable(level) else level
-        keyed = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high").select("key", "low")
-        shared = work.put(buckets.join(keyed, "key"), "buckets")
-        work.release()
-        if root is None:
-            held = work.put(bodies.join(shared.select("id").distinct(), "id", "left_semi"), "bodies")
-            work.release()
-        test(shared.where("id != low").groupBy(F.col("id").alias("y")).agg(F.min("low").alias("x")))
-        at = still_open(shared)
-        if not at.take(1):
-            return reduce(DataFrame.unionByName, found), root
-        few = at.where(F.col("size") <= SMALL)
-        one, other = few.select("key", F.col("id").alias("x"), F.col("root").alias("rx")), few.select("key", F.col("id").alias("y"), F.col("root").alias("ry"))
-        pairs = one.join(other, "key").where("x < y and rx != ry").select("x", "y")
-        for k in range(ROUNDS):
-            draws = F.array(*(F.struct(F.xxhash64("id", F.lit(DRAWS * turn + d)).alias("h"), "id", "root") for d in range(DRAWS)))
-            drawn = at.where(F.col("size") > SMALL).select("key", "root", F.posexplode(draws).alias("draw", "m"))
-            members = drawn.groupBy("key", "root", "draw").agg(F.min("m").alias("m"))
-            lead = members.groupBy("key", "draw").agg(F.min("m").alias("l"))
-            led = members.join(lead, ["key", "draw"]).where("root != l.root").select(F.col("l.id").alias("x"), F.col("m.id").alias("y"))
-            test(led if k else led.unionByName(pairs))
-            turn += 1
-            at = still_open(at.where(F.col("size") > SMALL))
-            if not at.take(1):
-                break
-        left = work.put(at.select("id").distinct(), "left")
-        if not left.take(1):
-            return reduce(DataFrame.unionByName, found), root
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    cut = at.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("far", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    one = cut.select("key", F.col("own").alias("p"), F.col("far").alias("q"), F.col("id").alias("x"), F.col("root").alias("rx"))
-    other = cut.select("key", F.col("far").alias("p"), F.col("own").alias("q"), F.col("id").alias("y"), F.col("root").alias("ry"))
-    test(one.join(other, ["key", "p", "q"]).where("x < y and rx != ry").select("x", "y"))
-    return reduce(DataFrame.unionByName, found), root

@@ -9,62 +9,130 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm.common import RID, Workspace, settled, text_rows
-from corvid.llm.components import connect
+from corvid.llm.components import classes, find, group_heads, in_blocks, once, sharing, whole_groups
+from corvid.llm.words import Chunk, Runs, chunks, mix, powers
 
 #: Words in a shingle, least similarity, samples, and minimum shingles in a sample. Two texts of similarity 0.8 agree in a sample with a chance of about 0.8 ** 3, so none of 16 samples shows them with a chance of 1e-5.
 SHINGLE, SIMILAR, SAMPLES, MINIMA = 5, 0.8, 16, 3
-#: Where too many texts share a key: samples of twice the minima, for texts of SHORT shingles or more; shorter ones, and those a little longer, keep their keys.
-FINER_SAMPLES, SHORT = 48, 30
+#: Texts of a block, where a key's texts are compared pair by pair, and the most bytes of it where texts are long.
+BLOCK, BLOCK_BYTES = 1024, 1 << 24
+#: Shingles that one matrix product counts.
+COLUMNS = 2048
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Key of no sample; a text of no words has no other.
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _mix(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> np.uint64(30))) * _B
-    z ^= z >> np.uint64(27)
-    z *= _A
-    return z ^ (z >> np.uint64(31))
-
-
-def word_hashes(text: str) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, text.lower().split()), np.uint64)
+def shingles(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts of a chunk, in text order: hashes of the shingles, these labelled with the number of equals before them in the text, and each text's first shingle (one past the last at the end).
 
+    A text of fewer words than a shingle is one shingle, one without words none.
+    """
+    bounds = chunk.bounds
+    words = np.diff(bounds)
+    size = np.where(words > 0, np.maximum(1, words - SHINGLE + 1), 0)
+    first = np.concatenate([[0], np.cumsum(size)])
+    text = np.repeat(np.arange(len(size)), size)
+    h = Runs(chunk.hashes)(np.arange(first[-1]) - first[text] + bounds[text], np.minimum(SHINGLE, words)[text])
+    own = mix(h + text.astype(np.uint64) * _A)
+    order = np.argsort(own, kind="stable")
+    s, here = own[order], np.arange(len(h))
+    head = np.concatenate([[True], s[1:] != s[:-1]])[: len(h)]
+    before = np.empty(len(h), np.uint64)
+    before[order] = here - np.maximum.accumulate(np.where(head, here, 0))
+    return h, mix(h + before * _B), first
+
+
+def sketches(chunk: Chunk, samples: int = SAMPLES, minima: int = MINIMA) -> np.ndarray:
+    """A 64-bit key for each text and sample: its smallest labelled shingles, in the order in which they stand in the text."""
+    h, marks, first = shingles(chunk)
+    seeds = mix(np.arange(1, samples + 1, dtype=np.uint64) * _A)
+    out = np.full((len(first) - 1, samples), _NONE)
+    for k, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if b - a > minima:
+            v = marks[a:b] ^ seeds[:, None]
+            v *= _B
+            v ^= v >> np.uint64(32)
+            at = np.sort(np.argpartition(v, minima - 1, axis=1)[:, :minima], axis=1) + a
+        else:
+            at = np.broadcast_to(np.arange(a, b), (samples, b - a))
+        z = seeds
+        for column in at.T:
+            z = mix(z) + h[column]
+        if b > a:
+            out[k] = np.minimum(mix(z), _NONE - np.uint64(1))
+    return out
+
+
+class Prefix:
+    """Equal stretches of two sequences of hashes, by prefix sums."""
+
+    _BASE = 0xE7037ED1A0B428DB
+    _up = np.ones(1, np.uint64)
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        n = max(len(a), len(b)) + 1
+        if len(Prefix._up) < n:
+            Prefix._up = powers(self._BASE, 2 * n)
+        self.n, self.m = len(a), len(b)
+        self.a, self.b = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * Prefix._up[: len(x)])]) for x in (a, b))
+
+    def reach(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Words equal from i in one and j in the other on, for each pair of places, found by halving."""
+        most = np.minimum(self.n - i, self.m - j)
+        out, step = np.zeros(len(i), np.int64), 1 << max(0, int(most.max(initial=0)).bit_length() - 1)
+        i_up, j_up = Prefix._up[j], Prefix._up[i]
+        while step:
+            end = out + step
+            fit = np.flatnonzero(end <= most)
+            x, y, e = i[fit], j[fit], end[fit]
+            alike = (self.a[x + e] - self.a[x]) * i_up[fit] == (self.b[y + e] - self.b[y]) * j_up[fit]
+            out[fit[alike]] = e[alike]
+            step >>= 1
+        return out
 
-def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """A hash for each run of size words, in text order; a shorter text is one shingle, an empty one none."""
-    if not len(words):
-        return words
-    size = min(size, len(words))
-    h = words[: len(words) - size + 1].copy()
-    for k in range(1, size):
-        h = _mix(h) + words[k : len(words) - size + 1 + k]
-    return _mix(h)
 
+def aligned_runs(a: np.ndarray, b: np.ndarray, band: int) -> list[int] | None:
+    """Lengths of the runs of equal words in an alignment with the fewest insertions and deletions, None if they are more than band.
 
-def labelled(h: np.ndarray) -> np.ndarray:
-    """Each shingle's hash mixed with the number of its equals before it."""
-    order = np.argsort(h, kind="stable")
-    s, here = h[order], np.arange(len(h))
-    head = np.concatenate([[True], s[1:] != s[:-1]])
-    out = np.empty(len(h), np.uint64)
-    out[order] = (here - np.maximum.accumulate(np.where(head, here, 0))).astype(np.uint64)
-    return _mix(h + out * _A)
+    All diagonals that a number of edits can reach advance side by side, each as far as its
+    words are equal. 32 bits are kept for each edit and diagonal.
+    """
+    n, m = len(a), len(b)
+    near, nothing = Prefix(a, b), -(1 << 30)
+    at = np.full(2 * band + 5, nothing, np.int64)
+    zero = band + 2
+    at[zero] = near.reach(np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
+    steps = [at[zero : zero + 1].astype(np.int32)]
+    if at[zero] >= n and at[zero] >= m:
+        return _traced(steps, n, m)
+    for d in range(1, band + 1):
+        k = np.arange(-d, d + 1, 2)
+        left, right = at[zero + k - 1], at[zero + k + 1]
+        x = np.maximum(left + 1, right)
+        y = x - k
+        ok = (x >= 0) & (x <= n) & (y >= 0) & (y <= m)
+        x = np.where(ok, x, nothing)
+        own = np.flatnonzero(ok)
+        x[own] += near.reach(x[own], y[own])
+        at[zero + k] = x
+        steps.append(x.astype(np.int32))
+        if abs(n - m) <= d and (d - n + m) % 2 == 0 and at[zero + n - m] >= n:
+            return _traced(steps, n, m)
+    return None
 
 
-def sketch(text: str, samples: int = SAMPLES, minima: int = MINIMA) -> np.ndarray:
-    """A 64-bit key for each sample: its smallest labelled shingles, in the order in which they stand in the text."""
-    h = shingles(word_hashes(text))
-    marks = labelled(h) if len(h) else h
-    keys = np.empty(samples, np.uint64)
-    for k in range(samples):
-        if len(h) > minima:
-            v = marks ^ _mix(np.full(1, k + 1, np.uint64) * _A)
-            v *= _B
-            v ^= v >> np.uint64(32)
-            at = np.sort(np.argpartition(v, minima - 1)[:minima])
-        else:
-            at = np.arange(len(h))
-        keys[k] = xxhash.xxh3_64_intdigest(h[at].tobytes(), seed=k)
-    return keys
+def _traced(steps: list[np.ndarray], n: int, m: int) -> list[int]:
+    """The runs of the path that ends at the last step, from its end on. steps[d] has diagonals -d, -d + 2, ... d."""
+    runs, x, k = [], n, n - m
+    for d in range(len(steps) - 1, 0, -1):
+        before, own = steps[d - 1], (k + d) // 2
+        left = int(before[own - 1]) + 1 if own > 0 else -1
+        right = int(before[own]) if own < d else -1
+        start, k = (left, k - 1) if left >= right else (right, k + 1)
+        runs.append(x - start)
+        x = start if left < right else start - 1
+    return [*runs, x]
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
@@ -79,120 +147,114 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     na, nb = len(a) - SHINGLE + 1, len(b) - SHINGLE + 1
     # kept / (na + nb - kept) >= least needs as many kept, and each edit loses a shingle at least.
     need = least * (na + nb) / (1 + least)
-    if min(na, nb) < need:
-        return 0.0
-    band = int(na + nb - 2 * need) + 1
-    # No alignment keeps more than the two have in common at all.
-    x, y = (np.unique(labelled(shingles(w))) for w in (a, b))
-    if len(np.intersect1d(x, y, assume_unique=True)) < need - 1e-9:
-        return 0.0
-    runs = aligned_runs(a, b, band)
-    if runs is None:
+    if min(na, nb) < need - 1e-9:
         return 0.0
-    kept = sum(max(0, n - SHINGLE + 1) for n in runs)
+    runs = aligned_runs(a, b, int(na + nb - 2 * need) + 1)
+    kept = sum(max(0, n - SHINGLE + 1) for n in runs or ())
     return kept / (na + nb - kept) if kept >= need - 1e-9 else 0.0
 
 
-def _reach(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
-    """Words equal from a[i] and b[j] on."""
-    n, size, most = 0, 16, min(len(a) - i, len(b) - j)
-    while n < most:
-        step = min(size, most - n)
-        unlike = a[i + n : i + n + step] != b[j + n : j + n + step]
-        k = int(unlike.argmax())
-        if unlike[k]:
-            return n + k
-        n, size = n + step, size * 2
-    return n
-
-
-def aligned_runs(a: np.ndarray, b: np.ndarray, band: int) -> list[int] | None:
-    """Lengths of the runs of equal words in an alignment with the fewest insertions and deletions, None if they are more than band."""
-    n, m = len(a), len(b)
-    furthest, steps = {1: 0}, []
-    for d in range(band + 1):
-        own = {}
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and furthest.get(k - 1, -1) < furthest.get(k + 1, -1))
-            x = furthest.get(k + 1, 0) if down else furthest.get(k - 1, 0) + 1
-            y = x - k
-            if x > n or y > m or y < 0:
-                continue
-            run = _reach(a, b, x, y)
-            own[k] = x + run
-            if x + run >= n and y + run >= m:
-                steps.append(own)
-                return _traced(steps, n, m)
-        steps.append(own)
-        furthest = own
-    return None
-
-
-def _traced(steps: list[dict[int, int]], n: int, m: int) -> list[int]:
-    runs, x, k = [], n, n - m
-    for d in range(len(steps) - 1, 0, -1):
-        before = steps[d - 1]
-        down = k == -d or (k != d and before.get(k - 1, -1) < before.get(k + 1, -1))
-        prev = k + 1 if down else k - 1
-        start = before.get(prev, 0) + (0 if down else 1)
-        runs.append(x - start)
-        x, k = before.get(prev, 0), prev
-    return [*runs, x]
-
-
-def verify(least: float):
-    def run(batches):
-        for batch in batches:
-            keep = [similarity(word_hashes(a.as_py()), word_hashes(b.as_py()), least) >= least for a, b in zip(batch.column("body_a"), batch.column("body_b"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return lambda pairs: pairs.mapInArrow(run, "a long, b long")
-
-
-def finer(samples: int, minima: int, least: float):
-    """From (id, body) to (key, id). Of two texts within the similarity, both have SHORT shingles or neither is longer than SHORT / least."""
-
-    def run(batches):
-        for batch in batches:
-            keys, ids = [], []
-            for k, body in zip(batch.column("id").to_pylist(), batch.column("body"), strict=True):
-                text, own = body.as_py(), []
-                n = max(1, len(text.split()) - SHINGLE + 1)
-                if n <= SHORT / least:
-                    own.append(sketch(text, samples, minima))
-                if n >= SHORT:
-                    own.append(sketch(text, FINER_SAMPLES, 2 * minima))
-                own = np.unique(np.concatenate(own))
-                keys.append(own)
-                ids.append(np.full(len(own), k, np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "id"])
-
-    return lambda bodies: bodies.select("id", "body").mapInArrow(run, "key long, id long")
+def common(marks: np.ndarray, heads: np.ndarray, columns: int = COLUMNS) -> np.ndarray:
+    """Labelled shingles that each two of some texts have in common: text k has those from heads[k] on. Matrix products over those that two texts have at least."""
+    n = len(heads) - 1
+    _, kind, times = np.unique(marks, return_inverse=True, return_counts=True)
+    shared = times > 1
+    column = np.where(shared, np.cumsum(shared) - 1, -1)[kind]
+    text = np.repeat(np.arange(n), np.diff(heads))
+    own = column >= 0
+    column, text = column[own], text[own]
+    order = np.argsort(column, kind="stable")
+    column, text = column[order], text[order]
+    out = np.zeros((n, n), np.float32)
+    for a in range(0, int(shared.sum()), columns):
+        lo, hi = np.searchsorted(column, [a, a + columns])
+        x = np.zeros((n, min(columns, int(shared.sum()) - a)), np.float32)
+        x[text[lo:hi], column[lo:hi] - a] = 1
+        out += x @ x.T
+    return out
+
+
+def _linked(batch: pa.RecordBatch, least: float) -> pa.RecordBatch:
+    """Links (a, b), enough to connect what the verified pairs of whole groups (key, p, q) connect.
+
+    A pair is looked at under the smallest key that both texts have. It is aligned if the two
+    have shingles enough in common for the similarity, and links aligned before don't connect
+    them.
+    """
+    words, marks, word_at, mark_at = [], [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    for c in chunks(batch.column("body")):
+        _, m, first = shingles(c)
+        words.append(c.hashes), marks.append(m)
+        word_at.append(c.bounds[1:] + word_at[-1][-1]), mark_at.append(first[1:] + mark_at[-1][-1])
+    words, marks, word_at, mark_at = (np.concatenate(x) for x in (words, marks, word_at, mark_at))
+    size = np.diff(mark_at)
+    own_keys = batch.column("keys").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1)
+    key, p, q, own = (batch.column(x).to_numpy() for x in ("key", "p", "q", "own"))
+    i, j, share = [], [], []
+    heads = group_heads(batch)
+    for a, b in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+        both = common(marks[mark_at[a] : mark_at[b]], mark_at[a : b + 1] - mark_at[a])
+        total = (size[a:b][:, None] + size[a:b]).astype(np.float32)
+        hit = np.triu(both >= least * total / (1 + least) - 1e-3, 1)
+        if p[a] != q[a]:
+            hit &= own[a:b][:, None] != own[a:b]
+        x, y = np.nonzero(hit)
+        i.append(x + a), j.append(y + a), share.append(both[x, y] / total[x, y])
+    i, j, share = np.concatenate(i), np.concatenate(j), np.concatenate(share)
+    order = np.argsort(-share, kind="stable")
+    i, j = i[order], j[order]
+    ids, node = np.unique(batch.column("id").to_numpy(), return_inverse=True)
+    root, one, other = list(range(len(ids))), [], []
+    for s in range(0, len(i), 1 << 14):
+        x, y = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+        mine = once(own_keys, x, y, key[x].view(np.uint64), _NONE)
+        for r, t in zip(x[mine].tolist(), y[mine].tolist(), strict=True):
+            u, v = find(root, int(node[r])), find(root, int(node[t]))
+            if u != v and similarity(words[word_at[r] : word_at[r + 1]], words[word_at[t] : word_at[t + 1]], least) >= least:
+                root[max(u, v)] = min(u, v)
+                one.append(node[r]), other.append(node[t])
+    return pa.RecordBatch.from_arrays([pa.array(ids[np.array(x, np.int64)]) for x in (one, other)], ["a", "b"])
 
 
 def near_classes(docs: DataFrame, least: float = SIMILAR, samples: int = SAMPLES, minima: int = MINIMA) -> DataFrame:
     """(RID, doc_id, root): a row for each document with the RID of the first of its class, by RID.
 
-    Equal texts are one class, and so are texts that verified links connect. A text of fewer
-    words than a shingle matches texts of the same words only; empty and null texts are one
-    class.
+    Equal texts are one class, and so are texts that verified links connect; case and white
+    space don't count. A text of fewer words than a shingle matches texts of the same words
+    only; texts without words, empty and null ones among them, match equal ones. All pairs of
+    different texts that agree in a sample are compared, but for those that other links
+    connect: keys alone are shuffled first, then the texts whose key another has.
     """
     docs = settled(docs)
     work = Workspace(docs.sparkSession)
-    rows = text_rows(docs)
+    rows = text_rows(docs).withColumn("lower", F.lower("text"))
+    out = f"{RID} long, doc_id long, digest binary, size long, keys array<long>"
 
     def run(batches):
         for batch in batches:
-            keys = [sketch(t.as_py(), samples, minima).view(np.int64) for t in batch.column("text")]
-            digest = [xxhash.xxh3_128_digest(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column(RID), batch.column("doc_id"), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [RID, "doc_id", "digest", "keys"])
-
-    sketched = work.put(rows.mapInArrow(run, f"{RID} long, doc_id long, digest binary, keys array<long>"), "sketches")
-    lead = sketched.groupBy("digest").agg(F.min(F.struct(RID, "keys")).alias("s")).select("digest", F.col(f"s.{RID}").alias("id"), "s.keys")
+            keys = np.concatenate([np.zeros((0, samples), np.uint64), *(sketches(c, samples, minima) for c in chunks(batch.column("lower")))])
+            texts = [t.as_py().encode("utf-8", "surrogatepass") for t in batch.column("text")]
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * samples, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(RID), batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), listed],
+                [RID, "doc_id", "digest", "size", "keys"],
+            )
+
+    sketched = work.put(rows.mapInArrow(run, out), "sketches")
+    lead = sketched.groupBy("digest").agg(F.min(F.struct(RID, "size", "keys")).alias("s")).select("digest", F.col(f"s.{RID}").alias("id"), "s.size", "s.keys")
     lead = work.put(lead, "distinct")
-    buckets = lead.select("id", F.explode(F.array_distinct("keys")).alias("key")).select("key", "id")
-    _, root = connect([buckets, finer(samples, minima, least)], rows.select(F.col(RID).alias("id"), F.col("text").alias("body")), verify(least), work)
+    keyed = lead.select("id", "size", F.explode(F.array_distinct("keys")).alias("key")).where(F.col("key") != -1)
+    shared = work.put(sharing(keyed, F.greatest(F.col("size").cast("double") / BLOCK_BYTES, F.lit(1.0 / BLOCK)), 1), "shared")
+    wanted = shared.select(F.col("id").alias(RID)).distinct().join(lead.select(F.col("id").alias(RID), "keys"), RID)
+    texts = work.put(rows.join(wanted, RID).select(F.col(RID).alias("id"), F.col("lower").alias("body"), "keys"), "texts")
+
+    def link(batches):
+        for part in whole_groups(batches):
+            yield _linked(part, least)
+
+    links = work.put(in_blocks(shared.join(texts, "id"), "id", "id", "keys", "body").mapInArrow(link, "a long, b long"), "links")
+    work.drop(shared, texts)
+    root = classes(links, work)
     known = lead.select("digest", "id").join(root, "id", "left").select("digest", F.coalesce("root", "id").alias("root"))
     return sketched.select(RID, "doc_id", "digest").join(known, "digest").select(RID, "doc_id", "root")
 

@@ -3,7 +3,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
-from corvid.llm import components, lines, ordermin, suffix
+import pyarrow as pa
+from corvid.llm import lines, ordermin, suffix, words
 from corvid.llm.common import Workspace
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -19,39 +20,68 @@ def edit_distance(a, b):
     return row[-1]
 
 
-@settings(max_examples=600, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 4))
-def test_within(a, b, edits):
-    assert lines.within(a, b, edits) == (edit_distance(a, b) <= edits)
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14)), max_size=12), st.integers(0, 4))
+def test_within(pairs, edits):
+    """All pairs side by side, against a whole table of distances for each."""
+    flat, at = [], []
+    for a, b in pairs:
+        at.append((len(flat), len(a), len(flat) + len(a), len(b)))
+        flat += a + b
+    at = np.array(at, np.int64).reshape(-1, 4).T
+    assert lines.within(np.array([*flat, 9], np.uint64), *at, edits).tolist() == [min(edits + 1, edit_distance(a, b)) for a, b in pairs]
 
 
 def test_within_edited():
-    rng = random.Random(1)
+    rng, flat, at, want = random.Random(1), [], [], []
     for _ in range(2000):
         a = [rng.randrange(6) for _ in range(rng.randrange(8, 40))]
         b = list(a)
         for _ in range(rng.randrange(5)):
             k = rng.randrange(len(b))
             b[k : k + rng.randrange(2)] = [rng.randrange(6)] * rng.randrange(2)
-        assert lines.within(a, b, 2) == (edit_distance(a, b) <= 2)
+        at.append((len(flat), len(a), len(flat) + len(a), len(b)))
+        flat += a + b
+        want.append(min(3, edit_distance(a, b)))
+    assert lines.within(np.array(flat, np.uint64), *np.array(at).T, 2).tolist() == want
+
+
+def within_reach(a, b):
+    return edit_distance(a, b) <= min(2, min(len(a), len(b)) // 5)
 
 
 def test_close_lines_share_a_key():
     rng = random.Random(2)
-    for turn in range(3000):
-        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(10, 30))]
+    for _ in range(3000):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(5, 30))]
         b = list(a)
         for _ in range(rng.randrange(1, 3)):
             k = rng.randrange(len(b))
             b[k : k + rng.randrange(2)] = [rng.choice("abcdefgh")] * rng.randrange(2)
-        if len(b) >= 10 and edit_distance(a, b) <= 2:
-            for parts in (None, *lines.FINER) if turn < 300 else (None,):
-                assert set(lines.line_keys(a, 2, parts)) & set(lines.line_keys(b, 2, parts))
+        if min(len(a), len(b)) >= 5 and within_reach(a, b):
+            h = np.array([ord(x) for x in a + b], np.uint64)
+            keys = lines.line_keys(words.Runs(h), np.array([0, len(a)]), np.array([len(a), len(b)]))
+            assert set(keys[0].tolist()) & set(keys[1].tolist()) - {int(lines._NONE)}
+
+
+def test_words_are_those_of_the_bytes():
+    """Words, lines and equal hashes of a column in several chunks, of long words and odd white space."""
+    texts = ["", "a", " a  b\tb\n\nb a \n", "\n", "x" * 70_000 + " y", "é é\u00a0é", "c\r\nd", "", "x" * 70_000 + " z", "a\n"] * 3
+    held, k = {}, 0
+    for c in words.chunks(pa.array(["first", *texts]).slice(1)):
+        text, number, a, b = c.lines()
+        for t, no, x, y in zip(text.tolist(), number.tolist(), a.tolist(), b.tolist()):
+            line = texts[c.first + t].encode().split(b"\n")[no].split()
+            assert [bytes(c.data[s:e]) for s, e in zip(c.starts[x:y], c.ends[x:y])] == line
+            for w, h in zip(line, c.hashes[x:y].tolist()):
+                assert held.setdefault(w, h) == h
+            k += 1
+    assert k == sum(t.count("\n") + 1 for t in texts) and len(set(held.values())) == len(held)
 
 
 def test_large_keys_are_searched_to_the_end(spark, monkeypatch):
-    """Pairs of close lines and texts among many that share a key with all of them and are close to no other."""
-    monkeypatch.setattr(components, "SMALL", 4), monkeypatch.setattr(components, "DRAWS", 1), monkeypatch.setattr(components, "BLOCK", 7)
+    """Pairs of close lines and texts among many that share a key with all of them and are close to no other, in small blocks."""
+    monkeypatch.setattr(lines, "BLOCK", 7), monkeypatch.setattr(ordermin, "BLOCK", 7)
     rng = random.Random(9)
     same, docs, want = [f"w{k}" for k in range(8)], [], set()
     for k in range(20):
@@ -62,6 +92,7 @@ def test_large_keys_are_searched_to_the_end(spark, monkeypatch):
     got = defaultdict(list)
     for r in lines.query(df).collect():
         got[r["class_id"]].append(r["doc_id"])
+        assert r["links"] == 1
     assert {tuple(sorted(g)) for g in got.values()} == want
     passage, docs = [f"w{k}" for k in range(40)], []
     for k in range(20):
@@ -104,7 +135,7 @@ def test_line_classes(spark, odd, none):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     rows = lines.query(df).collect()
     at = [(d, k, line.split()) for d, t in docs for k, line in enumerate((t or "").split("\n")) if line.split()]
-    links = [(i, j) for i in range(len(at)) for j in range(i) if at[i][2] == at[j][2] or (min(len(at[i][2]), len(at[j][2])) >= 10 and edit_distance(at[i][2], at[j][2]) <= 2)]
+    links = [(i, j) for i in range(len(at)) for j in range(i) if at[i][2] == at[j][2] or within_reach(at[i][2], at[j][2])]
     want = groups(len(at), links)
     own = {(d, k): g for (d, k, _), g in zip(at, want)}
     assert len(rows) == len(at)
@@ -129,8 +160,8 @@ def test_line_links_are_all_counted(spark, monkeypatch):
     texts = {" ".join(base[0][:5] + [x] + base[0][5:]) for x in "abc"}
     texts |= {" ".join(varied(rng, base[k], n)) for k in range(1, 4) for n in (1, 2, 3) for _ in range(12)}
     texts = sorted(texts)
-    words = [t.split() for t in texts]
-    want = {t: sum(i != j and edit_distance(words[i], w) <= 2 for j, w in enumerate(words)) for i, t in enumerate(texts)}
+    split = [t.split() for t in texts]
+    want = {t: sum(i != j and within_reach(split[i], w) for j, w in enumerate(split)) for i, t in enumerate(texts)}
     assert max(want.values()) > 2
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for block in (512, 5):
@@ -153,18 +184,62 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
+def hashes(text):
+    return np.concatenate([c.hashes for c in words.chunks(pa.array([text.lower()]))])
+
+
 def test_similarity_is_near_shared_shingles():
     rng = random.Random(4)
     for _ in range(200):
         a = [str(rng.randrange(500)) for _ in range(rng.randrange(20, 300))]
         b = varied(rng, a, rng.randrange(6))
-        x, y = ordermin.word_hashes(" ".join(a)), ordermin.word_hashes(" ".join(b))
         want = jaccard(" ".join(a), " ".join(b))
-        got = ordermin.similarity(x, y)
+        got = ordermin.similarity(hashes(" ".join(a)), hashes(" ".join(b)))
         assert got <= want + 1e-9
         assert got >= 0.8 or want < 0.83
-    assert ordermin.similarity(ordermin.word_hashes("a b"), ordermin.word_hashes("a  b")) == 1.0
-    assert ordermin.similarity(ordermin.word_hashes(""), ordermin.word_hashes("a b c d e f")) == 0.0
+    assert ordermin.similarity(hashes("a b"), hashes("a  b")) == 1.0
+    assert ordermin.similarity(hashes(""), hashes("a b c d e f")) == 0.0
+
+
+def test_aligned_runs_are_a_shortest_script():
+    rng = random.Random(11)
+    for _ in range(600):
+        a = [rng.randrange(6) for _ in range(rng.randrange(30))]
+        b = varied_numbers(rng, a)
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(row[j - 1] if x == y else 1 + min(row[j], new[-1]))
+            row = new
+        x, y = (words.mix(np.array(v, np.uint64)) for v in (a, b))
+        runs = ordermin.aligned_runs(x, y, 60)
+        assert len(runs) - 1 == row[-1] and 2 * sum(runs) + row[-1] == len(a) + len(b) and min(runs) >= 0
+        assert row[-1] == 0 or ordermin.aligned_runs(x, y, row[-1] - 1) is None
+
+
+def varied_numbers(rng, a):
+    b = list(a)
+    for _ in range(rng.randrange(6)):
+        k = rng.randrange(len(b) + 1)
+        b[k : k + rng.randrange(2)] = [rng.randrange(6)] * rng.randrange(2)
+    return b
+
+
+def test_common_shingles_and_long_texts():
+    """Counts against sets, in narrow slices; a long text and its edited copy."""
+    rng = random.Random(12)
+    texts = [" ".join(str(rng.randrange(30)) for _ in range(rng.randrange(5, 40))) for _ in range(30)]
+    texts += [t + " end" for t in texts]
+    c = next(words.chunks(pa.array(texts)))
+    _, marks, first = ordermin.shingles(c)
+    both, n = ordermin.common(marks, first, 7), np.diff(first)
+    for i in range(len(texts)):
+        for j in range(i):
+            assert abs(both[i, j] / (n[i] + n[j] - both[i, j]) - jaccard(texts[i], texts[j])) < 1e-6
+    long_ = [str(rng.randrange(10**6)) for _ in range(60_000)]
+    x, y = hashes(" ".join(long_)), hashes(" ".join(varied(rng, long_, 500)))
+    assert 0.9 < ordermin.similarity(x, y) < 1
 
 
 def test_near_classes(spark, odd, none):
