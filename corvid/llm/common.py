@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -52,15 +51,23 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one, set here, only where it is unset."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local one is set here, but only for a session within one machine's JVM: on a cluster that is an error."""
     jsc = spark.sparkContext._jsc.sc()
     if (known := jsc.getCheckpointDir()).isDefined():
         return known.get()
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corvid-")
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="corvid-")
     spark.sparkContext.setCheckpointDir(at)
     return jsc.getCheckpointDir().get()
 
 
+#: Lets Spark delete an execution's shuffle files as soon as it has ended.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Tables written as Parquet to the shared folder: they cut lineage and outlive executors."""
 
@@ -73,17 +80,16 @@ class Workspace:
         return f"{self.root}/{self.made:03d}-{name}"
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
-        at = self.path(name)
-        df.write.parquet(at)
+        at, before = self.path(name), self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.parquet(at)
+        finally:
+            self.spark.conf.set(_CLEAN, before) if before else self.spark.conf.unset(_CLEAN)
         out = self.spark.read.parquet(at)
         out._at = at
         return out
 
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of plans that are done with: it does so when its driver collects garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
             p = self.spark._jvm.org.apache.hadoop.fs.Path(df._at)
