@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import text_rows
+from corvid.llm.common import Workspace, text_rows
 
 #: n-gram sizes, hash buckets, most training documents of each label, n-grams kept, characters per numpy block.
 SIZES, BITS, SAMPLE, KEPT, STRETCH = (3, 4, 5, 6), 20, 2000, 4096, 1 << 20
@@ -70,13 +70,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most sample labelled documents of each label, the first by a hash of the id.
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, toxic, text) of at most sample labelled documents of each label, the first by a hash of the id; and how many training rows each label has.
 
-    Labelled rows whose crc32 of the id as text is divisible by 5 are held out. The log-count
-    ratio of an n-gram scales its presence; the most telling n-grams stay. The bias is set to
-    the labels' true proportion, counted over all training rows. Without training rows of both
-    labels the model is a constant under 0.5: it tells no text from another, so it rejects none.
+    Labelled rows whose crc32 of the id as text is divisible by 5 are held out.
     """
     known = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -85,41 +82,79 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     )
     counted = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
-    ids = [(r["doc_id"], r["toxic"]) for p in picked for r in p.collect()]
-    spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
+    none, toxic = (known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1))
+    # At most twice the sample of pairs of numbers.
+    return text_rows(docs).join(F.broadcast(none.unionByName(toxic)), "doc_id").select("doc_id", "toxic", "text"), counted
+
+
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(bucket, n0, n1): texts of each label that have an n-gram of the bucket; bucket -1 counts all texts. Each partition sums up first."""
 
     def run(batches):
+        seen, texts = np.zeros((2, 1 << BITS), np.int32), [0, 0]
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([features(t.as_py()).astype("<u4").tobytes() for t in batch.column("text")], pa.binary())], ["doc_id", "toxic", "grams"])
+            for k, text in zip(batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
+                seen[k, features(text.as_py())] += 1
+                texts[k] += 1
+        at = np.flatnonzero(seen.any(0))
+        for a in range(0, len(at), 1 << 16):
+            own = at[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(seen[k, own].astype(np.int64)) for k in (0, 1))], ["bucket", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([n], pa.int64()) for n in texts)], ["bucket", "n0", "n1"])
+
+    counts = rows.select("toxic", "text").mapInArrow(run, "bucket int, n0 long, n1 long")
+    return counts.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def telling(counts: DataFrame, n0: int, n1: int, kept: int = KEPT) -> DataFrame:
+    """(bucket, n0, n1) of the n-grams whose shares of the two labels' texts differ most, by a z score over 4; at most so many."""
+    rates = [(F.col(c) + 0.5) / (n + 1) for c, n in (("n0", n0), ("n1", n1))]
+    both = (F.col("n0") + F.col("n1")) / F.lit(float(n0 + n1))
+    z = F.abs(rates[1] - rates[0]) / F.sqrt(both * (1 - both) * (1 / n0 + 1 / n1) + 1e-12)
+    enough = counts.where((F.col("bucket") >= 0) & (F.col("n0") + F.col("n1") >= min(8, (n0 + n1) / 4))).withColumn("z", z)
+    return enough.where("z > 4").orderBy(F.desc("z"), "bucket").limit(kept).select("bucket", "n0", "n1")
+
 
-    rows = text_rows(docs).join(chosen, "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, grams binary").orderBy("doc_id").collect()
-    y = np.array([r["toxic"] for r in rows], float)
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fits on at most sample labelled documents of each label (see training_rows).
+
+    n-grams are counted by label, and the most telling chosen, in Spark. To the driver come
+    those, KEPT at most, and two bytes for each that a training text has. The log-count ratio
+    of an n-gram scales its presence. The bias is set to the labels' true proportion, counted
+    over all training rows. Without training rows of both labels the model is a constant under
+    0.5: it tells no text from another, so it rejects none.
+    """
+    work = Workspace(docs.sparkSession)
+    rows, counted = training_rows(docs, labels, sample)
+    rows = work.put(rows, "training")
+    counts = work.put(gram_counts(rows), "grams")
+    total = counts.where("bucket = -1").first()
     share = (counted.get(1, 0) + 0.5) / (sum(counted.values()) + 1)
-    if not len(y) or y.min() == y.max():
+    if total is None or not total["n0"] or not total["n1"]:
         share = min(share, UNTOLD)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
-    grams = [np.frombuffer(r["grams"], "<u4") for r in rows]
-    seen = [np.bincount(np.concatenate([g for g, v in zip(grams, y, strict=True) if v == k]), minlength=1 << BITS) for k in (0, 1)]
-    n = [(y == k).sum() for k in (0, 1)]
-    rate = [(s + 0.5) / (m + 1) for s, m in zip(seen, n, strict=True)]
-    ratio = np.log(rate[1] / rate[0])
-    both = (seen[0] + seen[1]) / len(y)
-    z = np.abs(rate[1] - rate[0]) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    z[(seen[0] + seen[1]) < min(8, len(y) / 4)] = 0
-    kept = np.sort(np.argsort(-z, kind="stable")[:KEPT])
-    kept = kept[z[kept] > 4]
-    at = np.full(1 << BITS, -1)
-    at[kept] = np.arange(len(kept))
+    n = total["n0"], total["n1"]
+    chosen = sorted((r["bucket"], r["n0"], r["n1"]) for r in telling(counts, *n).collect())
+    kept, *seen = (np.array([c[k] for c in chosen], np.int64) for k in range(3))
+    ratio = np.log((seen[1] + 0.5) / (n[1] + 1) / ((seen[0] + 0.5) / (n[0] + 1)))
+
+    def run(batches):
+        at = np.full(1 << BITS, -1)
+        at[kept] = np.arange(len(kept))
+        for batch in batches:
+            own = [at[features(t.as_py())] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([x[x >= 0].astype("<u2").tobytes() for x in own], pa.binary())], ["doc_id", "toxic", "grams"])
+
+    held = rows.mapInArrow(run, "doc_id long, toxic int, grams binary").orderBy("doc_id", "grams").collect()
+    y = np.array([r["toxic"] for r in held], float)
     x = np.zeros((len(y), len(kept)), np.float32)
-    for k, g in enumerate(grams):
-        own = at[g]
-        x[k, own[own >= 0]] = 1
-    x *= ratio[kept].astype(np.float32)
+    for k, r in enumerate(held):
+        own = np.frombuffer(r["grams"], "<u2")
+        x[k, own] = ratio[own]
+    work.drop(rows, counts)
     w, b = fit(x, y)
     odds = np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
-    return Model(kept, w * ratio[kept], float(b + odds))
+    return Model(kept, w * ratio, float(b + odds))
 
 
 def fit(x: np.ndarray, y: np.ndarray, l2: float = 2e-3, steps: int = 400) -> tuple[np.ndarray, float]:
