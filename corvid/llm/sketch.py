@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvid.llm.common import RID, Workspace, partitions, settled, text_rows
 
-#: Cells in each of the three subtables of the first sketch, how much larger each retry's are, and passes over the subtables while peeling.
+#: Cells in each of the three subtables of a fingerprint, how much larger a pair's next sketch is once one of its own size has failed, and passes over the subtables while peeling.
 CELLS, LARGER, PASSES = 8, 4, 3
 #: A paragraph ends with its line, and within a long line after a sentence.
 _END = r"\n|(?<=[.!?])\s+"
@@ -40,119 +40,121 @@ def neighbours(rows: DataFrame, work: Workspace) -> DataFrame:
 
 
 def versions(docs: DataFrame, work: Workspace) -> DataFrame:
-    """(RID, doc_id, n_chars, edited_sha256, and the paragraph digests a of the text, b of its edited text, c of the next document's)."""
+    """(RID, doc_id, n_chars, next, next_doc_id, edited_sha256, and the different paragraph digests a of the text and b of its edited text).
+
+    Texts are shuffled once, to meet their place in the ring; what a text lends to the one
+    before is shuffled again.
+    """
     rows = text_rows(docs)
-    base = rows.join(neighbours(rows, work).select(RID, "previous", "asked", "third"), RID)
-    lent = base.select(F.col("previous").alias(RID), F.col("doc_id").alias("next_doc_id"), F.col("third").alias("_"), F.expr("substring(text, 1, asked)").alias("lent"), paragraphs(F.col("text")).alias("c")).drop("_")
+    base = rows.join(neighbours(rows, work), RID)
+    lent = base.select(F.col("previous").alias(RID), F.col("doc_id").alias("next_doc_id"), F.expr("substring(text, 1, asked)").alias("lent"))
     both = base.join(lent, RID).withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - third as int))"), F.col("lent")))
-    return work.put(both.select(RID, "doc_id", "n_chars", "next_doc_id", F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("b"), "c"), "versions")
-
+    digests = {x: F.array_distinct(paragraphs(F.col(c))).alias(x) for x, c in (("a", "text"), ("b", "edited"))}
+    return work.put(both.select(RID, "doc_id", "n_chars", "next", "next_doc_id", F.sha2("edited", 256).alias("edited_sha256"), *digests.values()), "versions")
 
-def elements(rows: DataFrame) -> DataFrame:
-    """(RID, v, key): a key for each distinct paragraph of a version and the number of its repeats there. v is 0, 1, 2 for a, b, c."""
-    each = rows.select(RID, F.explode(F.array(*(F.struct(F.lit(k).alias("v"), F.col(x).alias("d")) for k, x in enumerate("abc")))).alias("s"))
-    each = each.select(RID, F.col("s.v").alias("v"), F.explode("s.d").alias("d"))
-    return each.groupBy(RID, "v", "d").count().select(RID, "v", F.xxhash64("d", "count").alias("key"))
 
-
-def _cell(key: Column, table: int, cells: int) -> Column:
-    return (F.pmod(F.xxhash64(key, F.lit(cells * 4 + table)), F.lit(cells)) + table * cells).cast("int")
+def _cell(key: Column, table: int, cells: Column) -> Column:
+    return (F.pmod(F.xxhash64(key, cells * 4 + table), cells) + cells * table).cast("int")
 
 
 def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(-7))
 
 
-def sketches(keys: DataFrame, cells: int) -> DataFrame:
-    """(RID, v, cell, n, key, check): counts, and exclusive-ors of the keys and of their check sums, of the cells in use."""
-    placed = keys.select(RID, "v", "key", _check(F.col("key")).alias("check"), F.explode(F.array(*(_cell(F.col("key"), t, cells) for t in range(3)))).alias("cell"))
-    return placed.groupBy(RID, "v", "cell").agg(F.count("*").alias("n"), F.expr("bit_xor(key)").alias("key"), F.expr("bit_xor(check)").alias("check"))
-
+def sketches(keys: DataFrame, *by: str) -> DataFrame:
+    """(*by, cells, cell, n, key, check) of keys (*by, cells, n, key): by place the counts, and the exclusive-ors of the keys and of their check sums, of the cells in use.
 
-def subtract(sketch: DataFrame) -> DataFrame:
-    """(RID, pair, cell, n, key, check): version 0 less version 1 for pair 1, less version 2 for pair 2; cells that cancel are gone."""
-    signed = F.when(F.col("v") == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.col("v")))
-    rows = sketch.withColumn("n", F.when(F.col("v") == 0, F.col("n")).otherwise(-F.col("n"))).withColumn("pair", F.explode(signed))
-    return rows.groupBy(RID, "pair", "cell").agg(F.sum("n").alias("n"), F.expr("bit_xor(key)").alias("key"), F.expr("bit_xor(check)").alias("check")).where("n != 0 or key != 0 or check != 0")
+    Each key has a cell in each of three subtables of so many cells. Keys with n = -1 take a
+    sketch away from another of the same size, cell by cell.
+    """
+    placed = keys.select(*by, "cells", "n", "key", _check(F.col("key")).alias("check"), F.explode(F.array(*(_cell(F.col("key"), t, F.col("cells")) for t in range(3)))).alias("cell"))
+    cells = placed.groupBy(*by, "cells", "cell").agg(F.sum("n").alias("n"), F.expr("bit_xor(key)").alias("key"), F.expr("bit_xor(check)").alias("check"))
+    return cells.where("n != 0 or key != 0 or check != 0")
 
 
-def peel(difference: DataFrame, cells: int, passes: int = PASSES) -> DataFrame:
-    """(RID, pair, cell, n, key): recovered keys with cell -1 and n 1 or -1 by the side that has them, and the cells that stay.
+def peel(difference: DataFrame, passes: int = PASSES) -> DataFrame:
+    """(RID, pair, cells, cell, n, key): recovered keys with cell -1 and n 1 or -1 by the side that has them, and the cells that stay.
 
     A cell that holds one key gives it away: n is 1 or -1 and the check sum agrees. Each step
     takes those cells of one subtable, where a key has one cell, and takes their keys out of all
     three. All steps work on one pair's cells within one partition.
     """
-    at = difference.withColumn("found", F.lit(0).cast("long"))
+    at, cells = difference.withColumn("found", F.lit(0).cast("long")), F.col("cells")
+    row = lambda cell, n, key, check, found: F.struct(cell.alias("cell"), n.cast("long").alias("n"), key.alias("key"), check.alias("check"), found.alias("found"))
+    zero = F.lit(0).cast("long")
     for k in range(passes * 3):
         table = k % 3
         pure = (F.abs("n") == 1) & (F.col("check") == _check(F.col("key"))) & (F.col("cell") == _cell(F.col("key"), table, cells))
-        row = lambda cell, n, key, check, found: F.struct(cell.alias("cell"), n.alias("n"), key.alias("key"), check.alias("check"), found.alias("found"))
         own = row(F.col("cell"), F.col("n"), F.col("key"), F.col("check"), F.col("found"))
-        out = [row(_cell(F.col("key"), t, cells), -F.col("n"), F.col("key"), F.col("check"), F.lit(0).cast("long")) for t in range(3)]
-        given = row(F.lit(-1), F.col("n"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.col("key"))
-        at = at.select(RID, "pair", F.explode(F.when((F.col("cell") >= 0) & pure, F.array(own, *out, given)).otherwise(F.array(own))).alias("s")).select(RID, "pair", "s.*")
-        at = at.groupBy(RID, "pair", "cell", "found").agg(F.sum("n").alias("n"), F.expr("bit_xor(key)").alias("key"), F.expr("bit_xor(check)").alias("check")).where("cell < 0 or n != 0 or key != 0 or check != 0")
-    return at.select(RID, "pair", "cell", "n", F.when(F.col("cell") < 0, F.col("found")).otherwise(F.col("key")).alias("key"))
-
-
-def fingerprint(sketch: DataFrame) -> DataFrame:
-    """(RID, v, fingerprint): the cells in use as text: place, count, key and check sum."""
-    cell = F.struct("cell", F.concat_ws("-", F.hex("cell"), F.hex("n"), F.hex("key"), F.hex("check")).alias("s"))
-    return sketch.groupBy(RID, "v").agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["s"]), ".").alias("fingerprint"))
-
-
-def first_cells(x: Column, y: Column) -> Column:
-    """Cells to begin with for the difference of two versions: its size is estimated from the digests of a sixteenth of the hash space."""
-    part = lambda c: F.array_distinct(F.filter(c, lambda d: F.pmod(d, F.lit(16)) == 0))
-    common = F.size(F.array_intersect(part(x), part(y))) * 16
-    differ = F.greatest(F.abs(F.size(x) - F.size(y)), F.size(x) + F.size(y) - 2 * common)
-    # Each subtable gets half as many cells as keys are expected; the power of LARGER above that.
-    steps = F.ceil(F.log(float(LARGER), F.greatest(F.lit(1.0), differ / (2.0 * CELLS))))
-    return (F.pow(F.lit(float(LARGER)), steps) * CELLS).cast("long")
+        out = [row(_cell(F.col("key"), t, cells), -F.col("n"), F.col("key"), F.col("check"), zero) for t in range(3)]
+        given = row(F.lit(-1), F.col("n"), zero, zero, F.col("key"))
+        at = at.select(RID, "pair", "cells", F.explode(F.when((F.col("cell") >= 0) & pure, F.array(own, *out, given)).otherwise(F.array(own))).alias("s")).select(RID, "pair", "cells", "s.*")
+        at = at.groupBy(RID, "pair", "cells", "cell", "found").agg(F.sum("n").alias("n"), F.expr("bit_xor(key)").alias("key"), F.expr("bit_xor(check)").alias("check")).where("cell < 0 or n != 0 or key != 0 or check != 0")
+    return at.select(RID, "pair", "cells", "cell", "n", F.when(F.col("cell") < 0, F.col("found")).otherwise(F.col("key")).alias("key"))
+
+
+def fingerprint(rows: DataFrame) -> DataFrame:
+    """(RID, fingerprint, edited_fingerprint) of versions: the cells in use as text, place, count, key and check sum of each."""
+    sides = F.explode(F.array(*(F.struct(F.lit(k).alias("v"), F.col(x).alias("d")) for k, x in enumerate("ab"))))
+    keys = rows.select(RID, sides.alias("s")).select(RID, "s.v", F.lit(CELLS).cast("long").alias("cells"), F.lit(1).cast("long").alias("n"), F.explode("s.d").alias("key"))
+    cell = F.struct("v", "cell", F.concat_ws("-", F.hex("cell"), F.hex("n"), F.hex("key"), F.hex("check")).alias("s"))
+    text = lambda k: F.array_join(F.transform(F.filter("c", lambda c: c["v"] == k), lambda c: c["s"]), ".")
+    found = sketches(keys, RID, "v").groupBy(RID).agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    return found.select(RID, text(0).alias("fingerprint"), text(1).alias("edited_fingerprint"))
+
+
+def differences(pending: DataFrame, rows: DataFrame) -> DataFrame:
+    """The subtracted sketches, (RID, pair, cells, cell, n, key, check), of pending pairs (RID, pair, other, cells): pair 1 is a text and its edited text, pair 2 a text and the other."""
+    n = partitions(rows.sparkSession)
+    one = rows.select(RID, F.col("a").alias("x"), F.col("b").alias("edited"))
+    other = rows.select(F.col(RID).alias("other"), F.col("a").alias("next"))
+    far = pending.where("pair = 2").join(other, "other").select(RID, "pair", "cells", F.col("next").alias("y"))
+    near = pending.where("pair = 1").select(RID, "pair", "cells", F.lit(None).cast("array<bigint>").alias("y"))
+    pairs = near.unionByName(far).repartition(n, RID).join(one.repartition(n, RID), RID)
+    sides = F.array(F.struct(F.lit(1).cast("long").alias("n"), F.col("x").alias("d")), F.struct(F.lit(-1).cast("long").alias("n"), F.when(F.col("pair") == 1, F.col("edited")).otherwise(F.col("y")).alias("d")))
+    keys = pairs.select(RID, "pair", "cells", F.explode(sides).alias("s")).select(RID, "pair", "cells", "s.n", F.explode("s.d").alias("key"))
+    return sketches(keys, RID, "pair")
 
 
 def query(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id).
 
-    Likeness is the share of paragraphs in common: those that differ come from peeling the
-    difference of two sketches. A pair begins with the cells that an estimate of its
-    difference asks for; one that does not peel is sketched again with more, until all have.
+    Likeness is the share of different paragraphs in common: those that differ come from
+    peeling the difference of two sketches. All pairs begin with their fingerprints. Of pairs
+    that don't peel, sketches are taken again, with a subtable for half the paragraphs that
+    both have together, and LARGER times as many each time that is too small, until all peel.
     Two texts without paragraphs are alike (1). A document alone is its own next.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark)
+    work = Workspace(docs.sparkSession)
     rows = versions(settled(docs), work)
-    n = partitions(spark)
-    basis = sketches(elements(rows.select(RID, "a", "b", F.array().cast("array<bigint>").alias("c")).repartition(n, RID)), CELLS)
-    prints = work.put(fingerprint(basis).groupBy(RID).agg(*(F.max(F.when(F.col("v") == k, F.col("fingerprint"))).alias(x) for k, x in enumerate(("fingerprint", "edited_fingerprint")))), "prints")
-    pending = rows.select(RID, "a", "b", "c", first_cells(F.col("a"), F.col("b")).alias("s1"), first_cells(F.col("a"), F.col("c")).alias("s2"))
-    cells, solved = CELLS, []
+    size = rows.select(RID, F.col("next").alias("other"), F.size("a").alias("na"), F.size("b").alias("nb"))
+    next_size = size.select(F.col(RID).alias("other"), F.col("na").alias("nc"))
+    # Half as many cells in a subtable as keys at most, a power of two.
+    enough = lambda x, y: F.greatest(F.lit(2.0 * CELLS), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), (x + y) / 2.0))))).cast("long")
+    pairs = F.array(F.struct(F.lit(1).alias("pair"), enough(F.col("na"), F.col("nb")).alias("next_cells")), F.struct(F.lit(2).alias("pair"), enough(F.col("na"), F.col("nc")).alias("next_cells")))
+    known = work.put(size.join(next_size, "other"), "sizes")
+    pending, solved, turn = known.select(RID, "other", F.explode(pairs).alias("p")).select(RID, "other", "p.*").withColumn("cells", F.lit(CELLS).cast("long")), [], 0
     while True:
-        # A pair that is solved, or has its turn later, is a version less itself, which leaves no cell.
-        turn = pending.where((F.col("s1") == cells) | (F.col("s2") == cells)).select(RID, "a", F.when(F.col("s1") == cells, F.col("b")).otherwise(F.col("a")).alias("b"), F.when(F.col("s2") == cells, F.col("c")).otherwise(F.col("a")).alias("c"))
-        peeled = peel(subtract(sketches(elements(turn.repartition(n, RID)), cells)), cells)
-        done = work.put(peeled.groupBy(RID, "pair").agg(F.count(F.when(F.col("cell") >= 0, 1)).alias("left"), F.count(F.when((F.col("cell") < 0) & (F.col("n") != 0), 1)).alias("differ")), f"peeled-{cells}")
+        peeled = peel(differences(pending.select(RID, "pair", "other", "cells"), rows))
+        done = peeled.groupBy(RID, "pair").agg(F.count(F.when(F.col("cell") >= 0, 1)).alias("left"), F.count(F.when((F.col("cell") < 0) & (F.col("n") != 0), 1)).alias("differ"))
+        done = work.put(done, f"peeled-{turn}")
         solved.append(done.where("left = 0").select(RID, "pair", "differ"))
-        failed = done.where("left > 0").groupBy(RID).agg(*(F.max((F.col("pair") == k).cast("int")).alias(f"p{k}") for k in (1, 2)))
-        again = [F.when(F.col(f"p{k}") == 1, F.lit(cells * LARGER)).when(F.col(f"s{k}") > cells, F.col(f"s{k}")).otherwise(F.lit(0)).cast("long").alias(f"s{k}") for k in (1, 2)]
-        pending = pending.join(failed, RID, "left").select(RID, "a", "b", "c", *again).where("s1 > 0 or s2 > 0")
-        pending = work.put(pending, f"pending-{cells}")
-        work.release()
-        ahead = pending.agg(F.min(F.least(F.when(F.col("s1") > 0, F.col("s1")), F.when(F.col("s2") > 0, F.col("s2")))).alias("s")).first()["s"]
-        if ahead is None:
+        failed = pending.join(done.where("left > 0").select(RID, "pair"), [RID, "pair"]).select(RID, "other", "pair", F.col("next_cells").alias("cells"), (F.col("next_cells") * LARGER).alias("next_cells"))
+        pending, before = work.put(failed, f"pending-{turn}"), pending if turn else None
+        if before is not None:
+            work.drop(before)
+        turn += 1
+        if not pending.take(1):
             break
-        cells = ahead
     found = reduce(DataFrame.unionByName, solved).groupBy(RID).agg(*(F.max(F.when(F.col("pair") == k, F.col("differ"))).alias(f"d{k}") for k in (1, 2)))
-    count = {x: F.size(F.array_distinct(x)) for x in "abc"}
 
     def likeness(x: Column, y: Column, differ: Column) -> Column:
         d = F.coalesce(differ, F.lit(0))
         common = (x + y - d) / 2
         return F.when(x + y == 0, 1.0).otherwise(common / (common + d))
 
-    out = rows.select(RID, "doc_id", "n_chars", "edited_sha256", "next_doc_id", *(c.alias(f"n{x}") for x, c in count.items())).join(prints, RID, "left").join(found, RID, "left")
+    out = rows.select(RID, "doc_id", "n_chars", "edited_sha256", "next_doc_id").join(known.select(RID, "na", "nb", "nc"), RID).join(fingerprint(rows), RID, "left").join(found, RID, "left")
     return out.select(
         "doc_id", "n_chars", "edited_sha256", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"), F.coalesce("edited_fingerprint", F.lit("")).alias("edited_fingerprint"),
         likeness(F.col("na"), F.col("nb"), F.col("d1")).alias("near_edited"), likeness(F.col("na"), F.col("nc"), F.col("d2")).alias("near_next"), "next_doc_id",

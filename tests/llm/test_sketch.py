@@ -6,8 +6,7 @@ from corvid.llm import sketch
 
 
 def parts(text):
-    found = [p for p in re.split(r"\n|(?<=[.!?])\s+", text) if p.strip(" ")]
-    return {(p, n) for p, n in Counter(found).items()}
+    return {p for p in re.split(r"\n|(?<=[.!?])\s+", text) if p.strip(" ")}
 
 
 def like(a, b):
