@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -108,15 +107,15 @@ def tokenized_blocks(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         coder, part, block, start = encoder(path), TaskContext.get().partitionId(), 0, 0
-        held, sizes, ids = [], [], []
+        held, sizes, ids, total = [], [], [], 0
 
         def flush():
-            nonlocal block, start, held, sizes, ids
+            nonlocal block, start, held, sizes, ids, total
             out = pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([np.frombuffer(b"".join(ids), "<u4").astype("<u2" if small else "<u4").tobytes()], pa.binary())],
                 ["part", "block", "start", "doc_ids", "sizes", "ids"],
             )
-            block, start, held, sizes, ids = block + 1, start + sum(sizes), [], [], []
+            block, start, held, sizes, ids, total = block + 1, start + total, [], [], [], 0
             return out
 
         small = coder.tokenizer.get_vocab_size() <= 1 << 16
@@ -125,7 +124,8 @@ def tokenized_blocks(docs: DataFrame, path: str) -> DataFrame:
                 ids.append(coder.encode(text.as_py()) + end)
                 held.append(doc_id.as_py())
                 sizes.append(len(ids[-1]) // 4)
-                if sum(sizes) >= BLOCK_IDS:
+                total += sizes[-1]
+                if total >= BLOCK_IDS:
                     yield flush()
         if held:
             yield flush()
@@ -214,7 +214,3 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def digest(rows: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of read()'s rows."""
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-
-
-def crc(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF
