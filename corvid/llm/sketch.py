@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corvid.llm.common import RID, Workspace, partitions, settled, text_rows
 
-#: Cells in each of the three subtables of a fingerprint, how much larger a pair's next sketch is once one of its own size has failed, and passes over the subtables while peeling.
-CELLS, LARGER, PASSES = 8, 4, 3
+#: Cells in each of the three subtables of a fingerprint, how much larger a pair's next sketch is once one of its own size has failed, and passes over the subtables while peeling: fingerprints hold few keys, so one pass tells.
+CELLS, LARGER, PASSES, FIRST_PASSES = 8, 4, 2, 1
 #: A paragraph ends with its line, and within a long line after a sentence.
 _END = r"\n|(?<=[.!?])\s+"
 
@@ -122,21 +122,21 @@ def query(docs: DataFrame) -> DataFrame:
 
     Likeness is the share of different paragraphs in common: those that differ come from
     peeling the difference of two sketches. All pairs begin with their fingerprints. Of pairs
-    that don't peel, sketches are taken again, with a subtable for half the paragraphs that
-    both have together, and LARGER times as many each time that is too small, until all peel.
+    that don't peel, sketches are taken again, with subtables of twice as many cells as
+    both have paragraphs, and LARGER times as many each time that fails, until all peel.
     Two texts without paragraphs are alike (1). A document alone is its own next.
     """
     work = Workspace(docs.sparkSession)
     rows = versions(settled(docs), work)
     size = rows.select(RID, F.col("next").alias("other"), F.size("a").alias("na"), F.size("b").alias("nb"))
     next_size = size.select(F.col(RID).alias("other"), F.col("na").alias("nc"))
-    # Half as many cells in a subtable as keys at most, a power of two.
-    enough = lambda x, y: F.greatest(F.lit(2.0 * CELLS), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), (x + y) / 2.0))))).cast("long")
+    # Twice as many cells in a subtable as keys at most, a power of two: only cells in use are rows, and most keys are alone in theirs.
+    enough = lambda x, y: F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(2.0 * CELLS), (x + y) * 2.0)))).cast("long")
     pairs = F.array(F.struct(F.lit(1).alias("pair"), enough(F.col("na"), F.col("nb")).alias("next_cells")), F.struct(F.lit(2).alias("pair"), enough(F.col("na"), F.col("nc")).alias("next_cells")))
     known = work.put(size.join(next_size, "other"), "sizes")
     pending, solved, turn = known.select(RID, "other", F.explode(pairs).alias("p")).select(RID, "other", "p.*").withColumn("cells", F.lit(CELLS).cast("long")), [], 0
     while True:
-        peeled = peel(differences(pending.select(RID, "pair", "other", "cells"), rows))
+        peeled = peel(differences(pending.select(RID, "pair", "other", "cells"), rows), PASSES if turn else FIRST_PASSES)
         done = peeled.groupBy(RID, "pair").agg(F.count(F.when(F.col("cell") >= 0, 1)).alias("left"), F.count(F.when((F.col("cell") < 0) & (F.col("n") != 0), 1)).alias("differ"))
         done = work.put(done, f"peeled-{turn}")
         solved.append(done.where("left = 0").select(RID, "pair", "differ"))
