@@ -25,6 +25,8 @@ from corvid.llm.common import RID, Workspace, retexted, settled, text_rows, whol
 LENGTH, GRAM, PER_GRAM, PER_SHARD = 400, 100, 2000, 2500
 #: Bytes that one numpy pass looks at.
 STRETCH = 1 << 22
+#: Lower bits of a hash that give way to its place in a stretch.
+PLACE_BITS = 23
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _PAD = b"\0" * (LENGTH + 64)
 
@@ -55,13 +57,18 @@ def gram_hashes(data: bytes, gram: int) -> np.ndarray:
 
 
 def anchor_runs(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First start, number of starts and the gram's hash for each run of starts with one anchor."""
+    """First start, number of starts and the gram's hash for each run of starts with one anchor.
+
+    The anchor is the leftmost gram whose hash has the smallest upper bits. They are as many in
+    a text of any length, so a string has the same anchor wherever it stands.
+    """
     h = gram_hashes(data, gram)
     span = length - gram + 1
     if len(h) < span:
         none = np.zeros(0, np.int64)
         return none, none, none
-    low = np.uint64(len(h).bit_length())
+    assert len(h) < 1 << PLACE_BITS, "a stretch has more places than the lower bits can number"
+    low = np.uint64(PLACE_BITS)
     m = (h >> low << low) | np.arange(len(h), dtype=np.uint64)
     size = 1
     while size < span:
@@ -304,12 +311,18 @@ def covered(ranges: list, size: int, length: int) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The bytes outside of the spans."""
+    at = [0, *(x for s in spans for x in s), len(data)]
+    return b"".join(data[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
+
+
 def _listed(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return repeats(docs, Workspace(docs.sparkSession), length, gram).groupBy(RID).agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 def query(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row of documents. Null and empty texts have nothing to remove; an exact copy of a long enough text is removed whole, and so is the first of them."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text), a row for each row of documents; text is what is left, without bytes of characters that are cut through. Null and empty texts have nothing to remove; an exact copy of a long enough text is removed whole, and so is the first of them."""
     docs = settled(docs)
 
     def run(batches):
@@ -318,16 +331,12 @@ def query(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             for row in batch.to_pylist():
                 data = row["text"].encode("utf-8", "surrogatepass")
                 spans = covered(row["spans"] or (), len(data), length)
-                kept, at = hashlib.sha256(), 0
-                for a, b in spans:
-                    kept.update(data[at:a])
-                    at = b
-                kept.update(data[at:])
-                out.append((row["doc_id"], len(data), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, [pa.int64()] * 4 + [pa.string()], strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept = without(data, spans)
+                out.append((row["doc_id"], len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, [pa.int64()] * 4 + [pa.string()] * 2, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     rows = text_rows(docs).join(_listed(docs, length, gram), RID, "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -339,11 +348,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             texts = []
             for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
                 data = text.as_py().encode("utf-8", "surrogatepass")
-                at, kept = 0, []
-                for a, b in covered(spans.as_py() or (), len(data), length):
-                    kept.append(data[at:a])
-                    at = b
-                texts.append(b"".join([*kept, data[at:]]).decode("utf-8", "ignore"))
+                texts.append(without(data, covered(spans.as_py() or (), len(data), length)).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(texts, pa.string())], ["own", "text"])
 
     wide = whole_rows(docs).join(_listed(docs, length, gram), RID, "left").select("own", "text", "spans")
