@@ -90,17 +90,19 @@ def graph_chunks(units: DataFrame, edges: DataFrame, config: GraphConfig = Graph
 
 
 def communities(units: DataFrame, edges: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
-    """(document_id, unit_id, community): one level of modularity moves in each document, whose units and edges come as one row."""
+    """(document_id, unit_id, community): one level of modularity moves in each document, whose units and edges come as one row; edges follow by type, then by their units' numbers."""
     rank = F.when(F.col("edge_type") == "structural", 0).when(F.col("edge_type") == "hierarchical", 1).when(F.col("edge_type") == "semantic", 2).otherwise(3)
     nodes = units.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("index", "unit_id"))).alias("nodes"))
-    links = edges.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "src", "dst", "weight"))).alias("links"))
+    links = edges.groupBy("document_id").agg(F.collect_list(F.struct(rank.alias("r"), "src", "dst", "weight")).alias("links"))
 
     def run(frames):
         for f in frames:
             out = []
             for d, nodes, links in zip(f["document_id"], f["nodes"], f["links"]):
                 ids = [n["unit_id"] for n in nodes]
-                found = C.modularity(ids, [(x["src"], x["dst"], x["weight"]) for x in (links if links is not None else [])], config.resolution)
+                at = {u: k for k, u in enumerate(ids)}
+                order = sorted((x["r"], at[x["src"]], at[x["dst"]], x["weight"]) for x in (links if links is not None else []) if x["src"] in at and x["dst"] in at)
+                found = C.modularity(ids, [(ids[a], ids[b], w) for _, a, b, w in order], config.resolution)
                 out += [(d, u, k) for k, group in enumerate(found) for u in group]
             yield pd.DataFrame(out, columns=["document_id", "unit_id", "community"])
 

@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from corvid.functions.text import significant_tokens
 
 
-def keyword_top(units: DataFrame, id_col: str, tokens, n: int, longest_first: bool = False) -> DataFrame:
-    """(id, word, count, rank): a text's n most frequent tokens; among equals the longer first, if asked, then the first used."""
-    words = units.select(id_col, F.posexplode(tokens).alias("pos", "word")).groupBy(id_col, "word").agg(F.count("*").alias("count"), F.min("pos").alias("first"))
+def keyword_top(units: DataFrame, id_cols: str | list[str], tokens, n: int, longest_first: bool = False) -> DataFrame:
+    """(*ids, word, count, rank): a text's n most frequent tokens; among equals the longer first, if asked, then the first used."""
+    ids = [id_cols] if isinstance(id_cols, str) else id_cols
+    words = units.select(*ids, F.posexplode(tokens).alias("pos", "word")).groupBy(*ids, "word").agg(F.count("*").alias("count"), F.min("pos").alias("first"))
     order = [F.col("count").desc(), *([F.length("word").desc()] if longest_first else []), F.col("first")]
-    return words.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy(*order))).where(F.col("rank") <= n).select(id_col, "word", "count", "rank")
+    return words.withColumn("rank", F.row_number().over(Window.partitionBy(*ids).orderBy(*order))).where(F.col("rank") <= n).select(*ids, "word", "count", "rank")
 
 
 def unit_keywords(units: DataFrame, n: int = 12) -> DataFrame:
-    return keyword_top(units.select("document_id", "unit_id", "text"), "unit_id", significant_tokens(F.col("text")), n, longest_first=True)
+    """(document_id, unit_id, word, count, rank)"""
+    return keyword_top(units.select("document_id", "unit_id", "text"), ["document_id", "unit_id"], significant_tokens(F.col("text")), n, longest_first=True)
 
 
 def structural_edges(units: DataFrame) -> DataFrame:
@@ -36,8 +38,10 @@ def hierarchical_edges(units: DataFrame, section: str = "section") -> DataFrame:
 def keyword_edges(keywords: DataFrame, min_shared: int = 3, max_per_unit: int = 5) -> DataFrame:
     """Of (document_id, unit_id, word): from each unit to the max_per_unit others with the most shared words, ties to the later id."""
     a, b = keywords.alias("a"), keywords.alias("b")
-    same = (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.unit_id") != F.col("b.unit_id"))
-    shared = a.join(b, same).groupBy(F.col("a.document_id").alias("document_id"), F.col("a.unit_id").alias("src"), F.col("b.unit_id").alias("dst")).agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    same = (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.unit_id") < F.col("b.unit_id"))
+    once = a.join(b, same).groupBy(F.col("a.document_id").alias("document_id"), F.col("a.unit_id").alias("src"), F.col("b.unit_id").alias("dst")).agg(F.count("*").alias("shared")).where(F.col("shared") >= min_shared)
+    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    shared = once.select("document_id", "shared", both.alias("e")).select("document_id", "e.src", "e.dst", "shared")
     best = Window.partitionBy("src").orderBy(F.col("shared").desc(), F.col("dst").desc())
     kept = shared.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= max_per_unit)
     return kept.select("document_id", "src", "dst", F.lit("keyword").alias("edge_type"), F.round(F.least(F.lit(0.6), 0.3 + 0.1 * F.col("shared")), 6).alias("weight"))

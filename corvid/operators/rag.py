@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from corvid.functions.text import citations, squash, strip_leading_ref
 
-#: Said when there is nothing to cite.
-NO_CONTEXT = "No relevant information found in the database."
+#: What stands for an empty context, and the answer to it.
+NO_CONTEXT = "No relevant context found."
+NO_ANSWER = "No relevant information found in the database."
 SYSTEM = "Answer from the context alone and cite its references in square brackets."
 
 
@@ -56,11 +57,13 @@ class Extractive:
 
     def generate(self, messages: list[dict]) -> str:
         context = messages[-1]["content"].split("\n\nQuestion:")[0].removeprefix("Context:\n")
-        return NO_CONTEXT if context == NO_CONTEXT else context.split(". ")[0]
+        return context.split(". ")[0]
 
 
 def ask(query: str, results: DataFrame, generator: Generator, clean: Callable[[str], str] = str.strip) -> str:
-    """Formats the few results, which the driver needs for the call, and generates."""
+    """Formats the few results, which the driver needs for the call, and generates; NO_ANSWER, without a call, if they have no text."""
     context = format_context(results).first()["context"]
+    if context == NO_CONTEXT:
+        return NO_ANSWER
     row = results.sparkSession.range(1).select(build_messages(F.lit(query), F.lit(context), F.array().cast("array<struct<role:string,content:string>>")).alias("m")).first()
     return clean(generator.generate([m.asDict() for m in row["m"]]))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.functions.vectors import cosine, inner_product, literal
+from corvid.functions.vectors import inner_product, literal
 
 
 def scored(embeddings: DataFrame, query: list[float], mode: str = "cosine", digits: int | None = 6) -> DataFrame:
@@ -31,9 +31,13 @@ def in_categories(categories: Column, wanted: list[str]) -> Column:
 
 def semantic_edges(units: DataFrame, threshold: float) -> DataFrame:
     """(document_id, src, dst, weight) for i < j in a document whose cosine reaches the threshold."""
+    # Each vector's length is taken once, not for each pair.
+    units = units.withColumn("_norm", F.sqrt(inner_product(F.col("embedding"), F.col("embedding"))))
     a, b = units.alias("a"), units.alias("b")
     pairs = a.join(b, (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.index") < F.col("b.index")))
-    return pairs.select(F.col("a.document_id").alias("document_id"), F.col("a.unit_id").alias("src"), F.col("b.unit_id").alias("dst"), F.round(cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("weight")).where(F.col("weight") >= threshold)
+    norm = F.col("a._norm") * F.col("b._norm")
+    alike = F.when((F.size("a.embedding") != F.size("b.embedding")) | (norm == 0), 0.0).otherwise(inner_product(F.col("a.embedding"), F.col("b.embedding")) / norm)
+    return pairs.select(F.col("a.document_id").alias("document_id"), F.col("a.unit_id").alias("src"), F.col("b.unit_id").alias("dst"), F.round(alike, 6).alias("weight")).where(F.col("weight") >= threshold)
 
 
 class Embedder(Protocol):

@@ -31,15 +31,9 @@ def normalize_ocr(t: Tables):
     return t.documents.select("doc_id", F.md5(T.normalize_ocr(F.col("text"))).alias("normal"))
 
 
-def tagged(t: Tables, whole: bool = False):
-    """Texts with reasoning blocks around their first lines, or whole."""
-    first = F.col("text") if whole else F.split("text", "\n")[0]
-    return t.documents.select("doc_id", F.concat(F.lit("<thinking>so "), F.col("lang"), F.lit("\nthen</thinking> "), first, F.when(F.col("doc_id") % 2 == 0, " <reasoning>never closed").otherwise("")).alias("text"), "source", first.alias("first"))
-
-
-@query(r"SELECT doc_id, trim(string_split(text, chr(10))[1]) AS stripped FROM documents")
-def strip_tags(t: Tables):
-    return tagged(t).select("doc_id", T.strip_tags(F.col("text")).alias("stripped"))
+def tagged(t: Tables):
+    """Texts with reasoning blocks around them."""
+    return t.documents.select("doc_id", F.concat(F.lit("<thinking>so "), F.col("lang"), F.lit("\nthen</thinking> "), "text", F.when(F.col("doc_id") % 2 == 0, " <reasoning>never closed").otherwise("")).alias("text"), "source")
 
 
 #: A whole text without the white space at its ends.
@@ -47,28 +41,17 @@ STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
 
 @query(f"SELECT doc_id, {STRIPPED} AS stripped FROM documents")
-def strip_tags_whole(t: Tables):
-    return tagged(t, whole=True).select("doc_id", T.strip_tags(F.col("text")).alias("stripped"))
-
-
-@query("SELECT doc_id, string_split(text, chr(10))[1] AS stripped FROM documents")
-def strip_leading_ref(t: Tables):
-    return t.documents.select("doc_id", T.strip_leading_ref(F.concat(F.upper("source"), F.lit(" – "), F.split("text", "\n")[0]), F.col("source")).alias("stripped"))
+def strip_tags(t: Tables):
+    return tagged(t).select("doc_id", T.strip_tags(F.col("text")).alias("stripped"))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '^\s+', '') AS stripped FROM documents")
-def strip_leading_ref_whole(t: Tables):
+def strip_leading_ref(t: Tables):
     return t.documents.select("doc_id", T.strip_leading_ref(F.concat(F.upper("source"), F.lit(" – "), "text"), F.col("source")).alias("stripped"))
 
 
-@query("SELECT doc_id, trim(string_split(text, chr(10))[1]) AS cleaned FROM documents")
-def clean_content(t: Tables):
-    body = F.concat(F.lit("<thinking>x</thinking>"), F.col("source"), F.lit(" - "), F.split("text", "\n")[0])
-    return t.documents.select("doc_id", T.clean_content(body, F.col("source")).alias("cleaned"))
-
-
 @query(f"SELECT doc_id, {STRIPPED} AS cleaned FROM documents")
-def clean_content_whole(t: Tables):
+def clean_content(t: Tables):
     body = F.concat(F.lit("<thinking>x</thinking>"), F.col("source"), F.lit(" - "), "text")
     return t.documents.select("doc_id", T.clean_content(body, F.col("source")).alias("cleaned"))
 

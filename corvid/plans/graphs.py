@@ -30,8 +30,7 @@ def units(t: Tables):
 
 
 def keywords(t: Tables):
-    u = units(t)
-    return graph.unit_keywords(u).join(u.select("document_id", "unit_id"), "unit_id")
+    return graph.unit_keywords(units(t))
 
 
 def edges(t: Tables):

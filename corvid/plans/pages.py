@@ -36,14 +36,22 @@ def page_links(t: Tables):
     return html.links(t.pages).select("page_id", "link")
 
 
-@query(f"WITH {LINKS} SELECT page_id, link FROM k WHERE {HOST.format('url')} = {HOST.format('link')}")
+#: A link to another host, which every page has besides its own.
+OUTSIDE = "<a href='https://elsewhere.example/p'>"
+
+
+@query(f"WITH {LINKS} SELECT page_id, link FROM (SELECT * FROM k UNION ALL SELECT page_id, url, 'https://elsewhere.example/p' FROM pages) WHERE {HOST.format('url')} = {HOST.format('link')}")
 def internal_links(t: Tables):
-    return html.internal_links(t.pages).select("page_id", "link")
+    """Of the links of all pages, with one to another host on each."""
+    return html.internal_links(t.pages.withColumn("html", F.concat("html", F.lit(OUTSIDE)))).select("page_id", "link")
 
 
-@query(f"WITH a AS (SELECT page_id, url, '/a/../b' || CAST(page_id % 3 AS VARCHAR) || '?q=1' AS href FROM pages), f AS (SELECT page_id, url, {FULL} AS full_ FROM a) SELECT page_id, regexp_replace({CANON.format('full_')}, '^https?', lower(regexp_extract(url, '(?i)^(https?):', 1))) AS link FROM f")
+@query(f"WITH f AS (SELECT page_id, {ROOT} || CASE page_id % 5 WHEN 0 THEN '/b' WHEN 1 THEN '/c/d' WHEN 2 THEN '/' WHEN 3 THEN '/x/z' ELSE '/e' END AS full_ FROM pages) SELECT page_id, {CANON.format('full_')} AS link FROM f")
 def resolve_url(t: Tables):
-    return t.pages.select("page_id", U.resolve_url(F.col("url"), F.concat(F.lit("/a/../b"), F.col("page_id") % 3, F.lit("?q=1"))).alias("link"))
+    """Links with dot segments and queries, from a page /x/y; the SQL has what they must come to."""
+    hrefs = F.array(*map(F.lit, ("/a/../b?q=1", "../c/./d#top", "../../..", "z?x=../..", "./../e/")))
+    base = F.concat(F.regexp_extract("url", r"(?i)^(https?://[^/?#]*)", 1), F.lit("/x/y"))
+    return t.pages.select("page_id", U.resolve_url(base, F.get(hrefs, (F.col("page_id") % 5).cast("int"))).alias("link"))
 
 
 @query(f"WITH {LINKS} SELECT DISTINCT link AS url FROM k WHERE link NOT IN (SELECT {CANON.format('url')} FROM pages)")

@@ -151,23 +151,10 @@ def embedding_validate(t: Tables):
     return storage.embedding_validate(t.embedded, 64).select(F.col("n_rows"), F.col("n_ids"), F.col("min_dim").cast("long").alias("min_dim"), F.col("max_dim").cast("long").alias("max_dim"), "valid")
 
 
-@query(f"""WITH {META}, x AS (SELECT lang, doc_id, CASE WHEN book <> '' THEN book || CASE WHEN chapter IS NOT NULL THEN ' ' || chapter || coalesce(':' || verse, '') ELSE coalesce(' ' || section, '') END ELSE '' END AS location, {squashed("title")} AS body FROM m),
-y AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS position FROM x)
-SELECT lang, md5(coalesce(string_agg('[' || CASE WHEN location <> '' THEN location ELSE CAST(position AS VARCHAR) END || ']' || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position), 'No relevant information found in the database.')) AS context_md5 FROM y WHERE body <> '' GROUP BY lang""")
-def format_context(t: Tables):
-    from pyspark.sql import Window
-
-    from corvid.functions.location import format_location
-
-    rows = t.meta.select("lang", "doc_id", format_location(*(F.col(c) for c in ("book", "chapter", "verse", "section"))).alias("location"), F.array("title").alias("chunks"))
-    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
-    return rag.format_context(rows, "lang").select("lang", F.md5("context").alias("context_md5"))
-
-
 @query(f"""WITH {META}, x AS (SELECT lang, doc_id, CASE WHEN book <> '' THEN book || CASE WHEN chapter IS NOT NULL THEN ' ' || chapter || coalesce(':' || verse, '') ELSE coalesce(' ' || section, '') END ELSE '' END AS location, {squashed("content")} AS body FROM m),
 y AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS position FROM x)
-SELECT lang, md5(coalesce(string_agg('[' || CASE WHEN location <> '' THEN location ELSE CAST(position AS VARCHAR) END || ']' || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position), 'No relevant information found in the database.')) AS context_md5 FROM y WHERE body <> '' GROUP BY lang""")
-def format_context_whole(t: Tables):
+SELECT lang, md5(coalesce(string_agg('[' || CASE WHEN location <> '' THEN location ELSE CAST(position AS VARCHAR) END || ']' || chr(10) || body, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position), 'No relevant context found.')) AS context_md5 FROM y WHERE body <> '' GROUP BY lang""")
+def format_context(t: Tables):
     from pyspark.sql import Window
 
     from corvid.functions.location import format_location
@@ -178,7 +165,7 @@ def format_context_whole(t: Tables):
 
 
 @query(f"""WITH h AS (SELECT conv_id, turn, role, text FROM conversations), s AS (SELECT conv_id, count(*) FILTER (role IN ('user', 'assistant') AND text <> '') AS kept, string_agg(role || ':' || text, chr(10) ORDER BY turn) FILTER (role IN ('user', 'assistant') AND text <> '') AS said, arg_max(text, turn) AS asked, arg_min(text, turn) AS context FROM h GROUP BY conv_id)
-SELECT conv_id, kept + 2 AS n_messages, md5(coalesce(said, '')) AS said_md5, md5('Context:' || chr(10) || CASE WHEN {squashed("context")} = '' THEN 'No relevant information found in the database.' ELSE {squashed("context")} END || chr(10) || chr(10) || 'Question: ' || asked || chr(10) || chr(10) || 'Answer:') AS last_md5 FROM s""")
+SELECT conv_id, kept + 2 AS n_messages, md5(coalesce(said, '')) AS said_md5, md5('Context:' || chr(10) || CASE WHEN {squashed("context")} = '' THEN 'No relevant context found.' ELSE {squashed("context")} END || chr(10) || chr(10) || 'Question: ' || asked || chr(10) || chr(10) || 'Answer:') AS last_md5 FROM s""")
 def build_messages(t: Tables):
     rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("h"), F.max_by("text", "turn").alias("asked"), F.min_by("text", "turn").alias("context"))
     m = rag.build_messages(F.col("asked"), F.col("context"), F.transform("h", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))))

@@ -92,11 +92,11 @@ def document_chunks(t: Tables):
     return t.chunks.select("id", "document_id", F.row_number().over(Window.partitionBy("document_id").orderBy("id")).cast("long").alias("n"))
 
 
-@query(f"WITH {META} SELECT id, page, CAST(row_number() OVER (ORDER BY page NULLS FIRST, id) AS INTEGER) AS n FROM m WHERE source = 'src3' AND book = 'src3' AND chapter = 'en'")
+@query(f"WITH {META} SELECT id, page, CAST(row_number() OVER (ORDER BY page NULLS FIRST, id) AS INTEGER) AS n FROM m WHERE source = 'src10' AND book = 'src10' AND chapter = 'en'")
 def chapter_chunks(t: Tables):
     from pyspark.sql import Window
 
-    rows = storage.chapter_chunks(t.meta.withColumn("source_hash", F.col("source")), "src3", "src3", "en")
+    rows = storage.chapter_chunks(t.meta.withColumn("source_hash", F.col("source")), "src10", "src10", "en")
     return rows.select("id", "page", F.row_number().over(Window.orderBy(F.col("page").asc_nulls_first(), "id")).alias("n"))
 
 
@@ -191,20 +191,8 @@ def context_window(t: Tables):
     return around(t.meta, "source", [F.col("page").asc_nulls_last(), F.col("doc_id")]).select("doc_id", F.array_join("window_ids", "|").alias("window_ids"))
 
 
-@query(f"""WITH {META}, x AS (SELECT doc_id, source, CASE WHEN book <> '' THEN book || CASE WHEN chapter IS NOT NULL THEN ' ' || chapter || coalesce(':' || verse, '') ELSE coalesce(' ' || section, '') END ELSE '' END AS location, coalesce(chapter || ':' || verse, chapter, section, '') AS ref, trim(title) AS content, row_number() OVER (PARTITION BY source ORDER BY page NULLS LAST, doc_id) AS n FROM m) SELECT doc_id, source, location, ref, content, CAST(n AS INTEGER) AS n FROM x""")
-def document_view(t: Tables):
-    from pyspark.sql import Window
-
-    from corvid.functions import location as L
-    from corvid.functions.text import clean_content
-
-    loc = L.format_location(*(F.col(c) for c in ("book", "chapter", "verse", "section")))
-    n = F.row_number().over(Window.partitionBy("source").orderBy(F.col("page").asc_nulls_last(), "doc_id"))
-    return t.meta.select("doc_id", "source", loc.alias("location"), L.short_ref(*(F.col(c) for c in ("chapter", "verse", "section"))).alias("ref"), clean_content(F.col("title"), loc).alias("content"), n.alias("n"))
-
-
 @query(f"""WITH {META}, x AS (SELECT doc_id, source, CASE WHEN book <> '' THEN book || CASE WHEN chapter IS NOT NULL THEN ' ' || chapter || coalesce(':' || verse, '') ELSE coalesce(' ' || section, '') END ELSE '' END AS location, coalesce(chapter || ':' || verse, chapter, section, '') AS ref, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content, row_number() OVER (PARTITION BY source ORDER BY page NULLS LAST, doc_id) AS n FROM m) SELECT doc_id, source, location, ref, content, CAST(n AS INTEGER) AS n FROM x""")
-def document_view_whole(t: Tables):
+def document_view(t: Tables):
     from pyspark.sql import Window
 
     from corvid.functions import location as L

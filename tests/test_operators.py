@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from corvid.config import GraphConfig
 from corvid.config import ChunkConfig, SearchConfig
 from corvid.functions import location as L
 from corvid.functions import text as T
@@ -213,6 +214,8 @@ def test_context_and_citations(spark):
     results = spark.createDataFrame([(1, "Job 2", ["Job 2 - a  b", ""]), (2, "", ["c"]), (3, "x", [" "])], "position int, location string, chunks array<string>")
     assert rag.format_context(results).first()["context"] == "[Job 2]\na b\n\n---\n\n[2]\nc"
     assert rag.format_context(results.limit(0)).first()["context"] == rag.NO_CONTEXT
+    assert rag.ask("why?", results.limit(0), rag.Extractive()) == rag.NO_ANSWER == "No relevant information found in the database."
+    assert rag.NO_CONTEXT == "No relevant context found."
     assert "[Job 2]" in rag.ask("why?", results, rag.Extractive())
     sources = spark.createDataFrame([("q", k, [f"Job {k}"]) for k in range(8)], "answer_id string, position int, refs array<string>")
     answer = lambda t: spark.createDataFrame([("q", t)], "answer_id string, text string")
@@ -220,14 +223,30 @@ def test_context_and_citations(spark):
     assert [r["position"] for r in rag.cited_sources(answer("none"), sources).collect()] == [0, 1, 2, 3, 4]
 
 
-@pytest.mark.skip(reason="open: not seen to end within 110 s; cause not found yet")
 def test_session_stream(spark, tmp_path):
+    """Batches without data, which processing-time timeouts ask for without end, are off, so that the stream ends with its input."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     schema = "session_id string, role string, content string"
     for k in range(3):
         rows = [("s", role, f"{k}{i}") for i in range(4) for role in ("user", "assistant")] + [("t", "user", str(k))]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = sessions.stream_histories(stream).writeStream.outputMode("update").format("memory").queryName("histories").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+    assert q.awaitTermination(120)
     most = {r["session_id"]: r["n"] for r in spark.sql("SELECT session_id, max(n) AS n FROM histories GROUP BY session_id").collect()}
     assert most == {"s": 20, "t": 3}
+
+
+def test_communities_follow_unit_numbers(spark):
+    """More than ten units: edges are visited by the units' numbers, not by their ids as text."""
+    from corvid.operators import communities
+
+    ids = [f"d_unit_{k}" for k in range(14)]
+    units = spark.createDataFrame([("d", u, k) for k, u in enumerate(ids)], "document_id string, unit_id string, index int")
+    pairs = [(a, b) for a in range(14) for b in range(14) if a != b and (a * b + a) % 5 == 1] + [(k, k + 1) for k in range(13)]
+    edges = spark.createDataFrame([("d", ids[a], ids[b], "keyword", 0.5) for a, b in reversed(pairs)], "document_id string, src string, dst string, edge_type string, weight double")
+    want = communities.modularity(ids, [(ids[a], ids[b], 0.5) for a, b in sorted(pairs)], GraphConfig().resolution)
+    rows = chunking.communities(units, edges).collect()
+    got = [sorted((r["unit_id"] for r in rows if r["community"] == k), key=ids.index) for k in range(len(want))]
+    assert got == [sorted(g, key=ids.index) for g in want]

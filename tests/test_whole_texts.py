@@ -11,14 +11,14 @@ SF = "/root/testdata/sf0.001"
 def test_whole_texts(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert any("\n" in t.strip() for t in texts.values())
-    for name, column in (("strip_tags_whole", "stripped"), ("strip_leading_ref_whole", "stripped"), ("clean_content_whole", "cleaned"), ("document_view_whole", "content")):
+    for name, column in (("strip_tags", "stripped"), ("strip_leading_ref", "stripped"), ("clean_content", "cleaned"), ("document_view", "content")):
         got = {r["doc_id"]: r[column].strip() for r in QUERIES[name](spark, SF).collect()}
         assert got == {k: t.strip() for k, t in texts.items()}, name
 
 
 def test_whole_context(spark):
     m = spark.read.parquet(f"{SF}/documents.parquet").select("lang", "doc_id", "text", "source").orderBy("doc_id").collect()
-    got = {r["lang"]: r["context_md5"] for r in QUERIES["format_context_whole"](spark, SF).collect()}
+    got = {r["lang"]: r["context_md5"] for r in QUERIES["format_context"](spark, SF).collect()}
     for lang in {r["lang"] for r in m}:
         blocks = []
         for n, r in enumerate(x for x in m if x["lang"] == lang):
