@@ -5,8 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from corvid.config import GraphConfig
-from corvid.config import ChunkConfig, SearchConfig
+from corvid.config import ChunkConfig, GraphConfig, SearchConfig
 from corvid.functions import location as L
 from corvid.functions import text as T
 from corvid.functions import url as U
@@ -240,8 +239,6 @@ def test_session_stream(spark, tmp_path):
 
 def test_communities_follow_unit_numbers(spark):
     """More than ten units: edges are visited by the units' numbers, not by their ids as text."""
-    from corvid.operators import communities
-
     ids = [f"d_unit_{k}" for k in range(14)]
     units = spark.createDataFrame([("d", u, k) for k, u in enumerate(ids)], "document_id string, unit_id string, index int")
     pairs = [(a, b) for a in range(14) for b in range(14) if a != b and (a * b + a) % 5 == 1] + [(k, k + 1) for k in range(13)]
