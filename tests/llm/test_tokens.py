@@ -10,6 +10,7 @@ from corvid.llm import bpe, huffman, packing
 from corvid.llm.common import Workspace
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 
@@ -129,3 +130,11 @@ def test_packing(spark, odd, none, sf):
         assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in rows) == want
         assert padding < 2048 * 2
     assert packing.pack(none).count() == 0
+
+
+def test_blocks_of_very_many_empty_texts(spark):
+    """A block holds as many documents as it has ids: the work on each must not grow with those before it."""
+    n = huffman.BLOCK_IDS + 40_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("").alias("text")).coalesce(1)
+    blocks = huffman.tokenized_blocks(df, public_tokenizers.path(huffman.VOCABULARY))
+    assert blocks.agg(F.sum(F.size("doc_ids"))).first()[0] == n
