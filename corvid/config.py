@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -43,3 +46,36 @@ class SessionConfig:
     messages: int = 20
     idle_hours: int = 6
     sessions: int = 2000
+
+
+@dataclass(frozen=True)
+class Features:
+    """What a service offers."""
+
+    search: bool = True
+    ask: bool = True
+    view: bool = True
+
+    def require(self, name: str) -> None:
+        if not getattr(self, name):
+            raise PermissionError(f"{name} is switched off")
+
+
+def layered(kind: type, file: str | None = None, env: Mapping[str, str] | None = None):
+    """A config of the kind: its defaults, under the object named like it in a JSON file, under variables CORVID_<KIND>_<FIELD>. A value that does not parse leaves the layer below."""
+    name = kind.__name__.removesuffix("Config").lower()
+    found = {}
+    if file and os.path.exists(file):
+        with open(file, encoding="utf-8") as f:
+            found.update(json.load(f).get(name, {}))
+    env = os.environ if env is None else env
+    found |= {f.name: v for f in fields(kind) if (v := env.get(f"CORVID_{name}_{f.name}".upper())) is not None}
+    base, out = kind(), {}
+    for f in fields(kind):
+        if f.name in found:
+            was, v = getattr(base, f.name), found[f.name]
+            try:
+                out[f.name] = str(v).lower() in ("1", "true", "yes", "on") if isinstance(was, bool) else type(was)(v)
+            except (TypeError, ValueError):
+                continue
+    return kind(**out)

@@ -18,6 +18,16 @@ def format_location(book: Column, chapter: Column, verse: Column, section: Colum
     return F.when(book.isNull(), F.lit("")).otherwise(F.concat(book, tail))
 
 
+def view_location(book: Column, chapter: Column, verse: Column, section: Column) -> Column:
+    """As format_location, but the section alone where there is no book."""
+    return F.when(given(book).isNull(), F.coalesce(section, F.lit(""))).otherwise(format_location(book, chapter, verse, section))
+
+
+def line_location(book: Column, chapter: Column, verse: Column) -> Column:
+    """As format_location, but sections are never looked at."""
+    return format_location(book, chapter, verse, F.lit(None).cast("string"))
+
+
 def short_ref(chapter: Column, verse: Column, section: Column) -> Column:
     """chapter:verse, chapter, or section; else empty."""
     chapter, verse, section = map(given, (chapter, verse, section))
@@ -54,6 +64,20 @@ def categories(book: Column, chapter: Column, section: Column, verse: Column, he
     return F.filter(F.concat(_own(book, chapter, section, verse), _headers(headers)), lambda x: x.isNotNull() & (F.trim(x) != ""))
 
 
+def derived_categories(headers: Column, *values: Column) -> Column:
+    """Categories of a stored chunk that has none: its headers, repeats kept, then each value that is not among them."""
+    own = F.filter(_headers(headers), lambda x: x.isNotNull() & (x != ""))
+    return F.concat(own, F.array_except(F.filter(_own(*values), lambda x: x.isNotNull() & (x != "")), own))
+
+
+#: Metadata that a document's entry shows apart.
+SHOWN = ("source", "title", "chunk_index", "book", "chapter", "verse", "section")
+
+
+def other_metadata(metadata: Column) -> Column:
+    return F.map_filter(metadata, lambda k, _: ~k.isin(*SHOWN))
+
+
 def strip_page(source: Column) -> Column:
     return F.regexp_replace(source, r"#page=\d+$", "")
 

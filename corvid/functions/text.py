@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def squash(t: Column) -> Column:
@@ -123,3 +127,27 @@ def chapter_info(t: Column) -> Column:
     heading = F.trim(F.regexp_extract(t, r"(?im)^([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\s*(?:Chapter|Section|Article)\s*\d+)$", 1))
     shouted = F.filter(F.transform(F.slice(F.split(t, "\n"), 1, 3), lambda x: F.trim(x)), lambda x: (F.length(x) > 3) & (F.length(x) < 80) & (F.upper(x) == x) & (F.lower(x) != x) & x.contains(" "))
     return F.coalesce(F.nullif(numbered, F.lit("")), F.nullif(heading, F.lit("")), F.initcap(F.get(shouted, F.lit(0))))
+
+
+#: Fixed value: a reasoning block that is closed within one piece of a stream.
+CLOSED_BLOCK = r"(?is)<(?:environment_details|thinking|reasoning)>.*?</(?:environment_details|thinking|reasoning)>"
+
+
+def clean_piece(t: Column) -> Column:
+    """A piece of a streamed answer without the blocks that it holds whole; a block cut over pieces stays."""
+    return F.regexp_replace(t, CLOSED_BLOCK, "")
+
+
+def format_bytes(n: Column) -> Column:
+    """A size in B, KB, MB, GB or TB with one decimal, ties to the even digit."""
+    text = lambda power, unit: F.concat(F.replace(F.format_number(n.cast("double") / 1024**power, 1), F.lit(","), F.lit("")), F.lit(unit))
+    out = F.when(n < 1024, text(0, "B"))
+    for power, unit in enumerate(("KB", "MB", "GB"), 1):
+        out = out.when(n < 1024 ** (power + 1), text(power, unit))
+    return out.otherwise(text(4, "TB"))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def normalized_path(paths: pd.Series) -> pd.Series:
+    """A path's parts that are not empty in compatibility form (NFKD), lower case and trimmed. No built-in function normalises Unicode."""
+    return paths.map(lambda p: None if p is None else [unicodedata.normalize("NFKD", x).lower().strip() for x in p if x])

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.config import ChunkConfig, GraphConfig
-from corvid.functions.text import sentences
+from corvid.functions.text import keyword_tokens, sentences
 from corvid.operators import communities as C
+from corvid.operators.graph import keyword_top
 
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -121,3 +122,21 @@ def regraph_candidates(docs: DataFrame, chunks: DataFrame, force: bool = False)
     out = docs.join(filled, "id", "left_semi")
     graphed = chunks.where(F.col("graph_id").isNotNull()).select(F.col("document_id").alias("id"))
     return out if force else out.join(graphed, "id", "left_anti")
+
+
+def regraph_stats(docs: DataFrame, done: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: documents processed and skipped, chunks made of them, and chunks a document."""
+    n = docs.select(F.lit(1).alias("docs"), F.lit(0).alias("done"), F.lit(0).alias("chunks"))
+    n = n.unionByName(done.select(F.lit(0).alias("docs"), F.lit(1).alias("done"), F.lit(0).alias("chunks")))
+    made = chunks.join(done.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    n = n.unionByName(made.select(F.lit(0).alias("docs"), F.lit(0).alias("done"), F.lit(1).alias("chunks")))
+    out = n.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "done", "chunks")))
+    return out.select(F.col("done").alias("processed"), (F.col("docs") - F.col("done")).alias("skipped"), F.col("chunks").alias("total_chunks"), F.round(F.when(F.col("done") > 0, F.col("chunks") / F.col("done")).otherwise(0.0), 6).alias("average"))
+
+
+def filled_categories(rows: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose categories are empty get their content's three keywords; only those rows are counted."""
+    words = keyword_top(rows.where(F.size("categories") == 0), key, keyword_tokens(F.col("content")), 3)
+    words = words.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("_w"))
+    found = F.transform("_w", lambda x: x["word"])
+    return rows.join(words, key, "left").withColumn("categories", F.when(F.col("_w").isNotNull(), found).otherwise(F.col("categories"))).drop("_w")

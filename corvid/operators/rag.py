@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import re
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.functions.text import citations, squash, strip_leading_ref
+from corvid.functions.text import CLOSED_BLOCK, citations, squash, strip_leading_ref
 
 #: What stands for an empty context, and the answer to it.
 NO_CONTEXT = "No relevant context found."
@@ -60,10 +62,36 @@ class Extractive:
         return context.split(". ")[0]
 
 
-def ask(query: str, results: DataFrame, generator: Generator, clean: Callable[[str], str] = str.strip) -> str:
-    """Formats the few results, which the driver needs for the call, and generates; NO_ANSWER, without a call, if they have no text."""
+#: Makers of generators by name; a model's client is added with register.
+PROVIDERS: dict[str, Callable[..., Generator]] = {}
+
+
+def register(make: Callable[..., Generator], *names: str) -> None:
+    PROVIDERS.update({n.lower(): make for n in names})
+
+
+def provider(name: str, **options) -> Generator:
+    if name.lower() not in PROVIDERS:
+        raise ValueError(f"no provider {name}; there are {', '.join(sorted(PROVIDERS))}")
+    return PROVIDERS[name.lower()](**options)
+
+
+register(Extractive, "extractive", "offline")
+
+
+def clean_pieces(pieces: Iterable[str]) -> Iterator[str]:
+    """A streamed answer's pieces as clean_piece has them, empty ones left out."""
+    for p in pieces:
+        if kept := re.sub(CLOSED_BLOCK, "", p):
+            yield kept
+
+
+def ask(query: str, results: DataFrame, generator: Generator, clean: Callable[[str], str] = str.strip, history: list[dict] | None = None) -> str:
+    """Formats the few results, which the driver needs for the call, and generates after the history's messages; NO_ANSWER, without a call, if they have no text."""
     context = format_context(results).first()["context"]
     if context == NO_CONTEXT:
         return NO_ANSWER
-    row = results.sparkSession.range(1).select(build_messages(F.lit(query), F.lit(context), F.array().cast("array<struct<role:string,content:string>>")).alias("m")).first()
+    kind = "array<struct<role:string,content:string>>"
+    said = F.from_json(F.lit(json.dumps(history or [])), kind)
+    row = results.sparkSession.range(1).select(build_messages(F.lit(query), F.lit(context), said).alias("m")).first()
     return clean(generator.generate([m.asDict() for m in row["m"]]))

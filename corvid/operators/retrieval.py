@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.config import GraphConfig, SearchConfig
-from corvid.functions.text import dedup_key
+from corvid.functions import location as L
+from corvid.functions.text import clean_content, dedup_key
+from corvid.functions.url import canonical_url
 from corvid.functions.vectors import hybrid_score, keyword_score
 from corvid.operators.graph import expand
 from corvid.operators.vector import in_categories, scored, top_k
@@ -64,7 +66,7 @@ def rank(chunks: DataFrame, candidates: DataFrame, scores: DataFrame, terms: lis
     then each document keeps its chunk_k best different texts, and the best documents that
     reach min_score stay.
     """
-    rows = chunks.join(F.broadcast(candidates), "id").join(F.broadcast(scores.select("id", "score")), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    rows = chunks.join(candidates, "id").join(scores.select("id", "score"), "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     if categories:
         rows = rows.where(in_categories(F.col("categories"), categories))
     if config.hybrid and terms:
@@ -83,7 +85,8 @@ def recommend(chunks: DataFrame, embeddings: DataFrame, query: list[float], term
     if categories:
         vectors = vectors.join(chunks.where(in_categories(F.col("categories"), categories)).select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
     found = top_k(scored(vectors, query, config.score_mode, None).select("chunk_id", "score"), config.overfetch * config.top_k, config.min_score)
-    scores = found.select(F.col("chunk_id").alias("id"), "score")
+    # At most overfetch x top_k rows; what the graph reaches from them has no such bound and gets no hint.
+    scores = F.broadcast(found.select(F.col("chunk_id").alias("id"), "score"))
     if config.expand and adjacency is not None:
         candidates = expand_candidates(chunks, scores, adjacency, order or [F.col("id")])
     else:
@@ -92,9 +95,27 @@ def recommend(chunks: DataFrame, embeddings: DataFrame, query: list[float], term
 
 
 def page_of(results: DataFrame, page: int, size: int, *order: Column) -> DataFrame:
-    """A page of ranked results with total, total_pages and the page after clamping."""
-    whole = Window.partitionBy()
-    out = results.withColumn("position", F.row_number().over(Window.orderBy(*order))).withColumn("total", F.count("*").over(whole))
-    out = out.withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("int"))
-    out = out.withColumn("page", F.greatest(F.lit(1), F.least(F.lit(page), F.col("total_pages"))))
-    return out.where((F.col("position") > (F.col("page") - 1) * size) & (F.col("position") <= F.col("page") * size))
+    """A page of ranked results with total, total_pages and the page after clamping. Only the rows up to its end are sorted into one task."""
+    total = results.count()
+    pages = max(1, -(-total // size))
+    page = max(1, min(page, pages))
+    head = results.orderBy(*order).limit(page * size).withColumn("position", F.row_number().over(Window.orderBy(*order))).where(F.col("position") > (page - 1) * size)
+    return head.withColumns({"total": F.lit(total).cast("long"), "total_pages": F.lit(pages), "page": F.lit(page)})
+
+
+def document_entry(rows: DataFrame) -> DataFrame:
+    """What a found document shows, from its scored chunk (id, document_id, content, path, metadata map, headers, categories, score, and the metadata columns named below)."""
+    shown = F.filter(F.coalesce("headers", F.array().cast("array<string>")), lambda h: F.trim(h) != "")
+    part = {c: F.coalesce(L.given(F.col(c)), F.get(shown, F.lit(k))) for k, c in enumerate(("book", "chapter", "verse"))}
+    return rows.select(
+        F.col("document_id").alias("id"), canonical_url(F.coalesce("source", F.lit(""))).alias("source"), F.coalesce("title", F.lit("")).alias("title"), *(c.alias(n) for n, c in part.items()), "section", "path",
+        L.location_map(**part).alias("location"), L.other_metadata(F.col("metadata")).alias("metadata"), F.coalesce("categories", F.array().cast("array<string>")).alias("categories"), "score",
+        F.col("content").alias("best_chunk"), F.array(F.struct("score", "content")).alias("chunks"),
+    )
+
+
+def document_view(chunks: DataFrame, document: str, *order: Column) -> DataFrame:
+    """A document's chunks, numbered in order, with location, short reference and cleaned content."""
+    loc = L.view_location(*(F.col(c) for c in ("book", "chapter", "verse", "section")))
+    n = F.row_number().over(Window.partitionBy(document).orderBy(*order))
+    return chunks.select("*", loc.alias("location"), L.short_ref(*(F.col(c) for c in ("chapter", "verse", "section"))).alias("ref"), n.alias("n")).withColumn("content", clean_content(F.col("content"), F.col("location")))

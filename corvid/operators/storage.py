@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 
@@ -77,3 +78,20 @@ def embedding_validate(embeddings: DataFrame, dim: int) -> DataFrame:
 def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(order)
     return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def metadata_index(records: DataFrame, order: str = "index") -> DataFrame:
+    """A record for each id, the last by the order."""
+    rest = [c for c in records.columns if c != "id"]
+    return records.groupBy("id").agg(F.max_by(F.struct(*rest), order).alias("r")).select("id", "r.*")
+
+
+def overlaid(rows: DataFrame, computed: dict[str, Column], bases: dict[str, Column]) -> DataFrame:
+    """The rows' metadata columns under computed ones, under bases where those are not null, empty or 0."""
+    kinds = {f.name: f.dataType for f in rows.select(*(c.alias(n) for n, c in bases.items())).schema}
+    below = {c: F.col(c) for c in rows.columns} | computed
+    over = {}
+    for n, c in bases.items():
+        known = F.nullif(c, F.lit(0 if isinstance(kinds[n], T.NumericType) else ""))
+        over[n] = F.coalesce(known, below[n]) if n in below else known
+    return rows.select(*(c.alias(n) for n, c in (below | over).items()))

@@ -147,12 +147,6 @@ def chapter_id(t: Tables):
     return t.meta.select("doc_id", L.chapter_id(T.content_hash(F.col("content")), *cols("source", "book", "chapter")).alias("chapter_id"))
 
 
-@query(f"WITH {META} SELECT doc_id, source, coalesce(nullif(book, ''), headers[1]) AS book, coalesce(chapter, headers[2]) AS chapter, coalesce(verse, headers[3]) AS verse, title FROM m")
-def document_entry(t: Tables):
-    h = lambda k: F.get(F.coalesce("headers", F.array().cast("array<string>")), F.lit(k))
-    return t.meta.select("doc_id", U.canonical_url(F.col("source")).alias("source"), *(F.coalesce(L.given(F.col(c)), h(k)).alias(c) for k, c in enumerate(("book", "chapter", "verse"))), "title")
-
-
 @query("SELECT doc_id, 'Job ' || CAST(doc_id % 9 AS VARCHAR) || '|Mark ' || CAST(doc_id % 4 AS VARCHAR) || ':' || CAST(doc_id % 30 AS VARCHAR) AS refs FROM documents")
 def citations(t: Tables):
     k = F.col("doc_id")

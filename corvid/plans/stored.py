@@ -191,13 +191,8 @@ def context_window(t: Tables):
     return around(t.meta, "source", [F.col("page").asc_nulls_last(), F.col("doc_id")]).select("doc_id", F.array_join("window_ids", "|").alias("window_ids"))
 
 
-@query(f"""WITH {META}, x AS (SELECT doc_id, source, CASE WHEN book <> '' THEN book || CASE WHEN chapter IS NOT NULL THEN ' ' || chapter || coalesce(':' || verse, '') ELSE coalesce(' ' || section, '') END ELSE '' END AS location, coalesce(chapter || ':' || verse, chapter, section, '') AS ref, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content, row_number() OVER (PARTITION BY source ORDER BY page NULLS LAST, doc_id) AS n FROM m) SELECT doc_id, source, location, ref, content, CAST(n AS INTEGER) AS n FROM x""")
+@query(f"""WITH {META}, x AS (SELECT doc_id, source, CASE WHEN book <> '' THEN book || CASE WHEN chapter IS NOT NULL THEN ' ' || chapter || coalesce(':' || verse, '') ELSE coalesce(' ' || section, '') END ELSE coalesce(section, '') END AS location, coalesce(chapter || ':' || verse, chapter, section, '') AS ref, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content, row_number() OVER (PARTITION BY source ORDER BY page NULLS LAST, doc_id) AS n FROM m) SELECT doc_id, source, location, ref, content, CAST(n AS INTEGER) AS n FROM x""")
 def document_view(t: Tables):
-    from pyspark.sql import Window
-
-    from corvid.functions import location as L
-    from corvid.functions.text import clean_content
+    from corvid.operators.retrieval import document_view as view
 
-    loc = L.format_location(*(F.col(c) for c in ("book", "chapter", "verse", "section")))
-    n = F.row_number().over(Window.partitionBy("source").orderBy(F.col("page").asc_nulls_last(), "doc_id"))
-    return t.meta.select("doc_id", "source", loc.alias("location"), L.short_ref(*(F.col(c) for c in ("chapter", "verse", "section"))).alias("ref"), clean_content(F.col("content"), loc).alias("content"), n.alias("n"))
+    return view(t.meta, "source", F.col("page").asc_nulls_last(), F.col("doc_id")).select("doc_id", "source", "location", "ref", "content", "n")

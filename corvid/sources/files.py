@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.functions.text import is_text
+from corvid.functions.location import derived_categories
+from corvid.functions.text import content_hash, is_text
 from corvid.functions.url import canonical_url
 from corvid.schemas import CHUNK
 
@@ -49,3 +53,38 @@ def write_chunks(chunks: DataFrame, path: str, kind: str = "json") -> None:
 def by_index(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose idx is wanted."""
     return rows.join(wanted.select("idx").distinct(), "idx", "left_semi")
+
+
+def chunk_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Only the ids: nothing else is parsed."""
+    return read_json(spark, path, "id string")
+
+
+def chunk_defaults(rows: DataFrame) -> DataFrame:
+    """Chunks with what a stored one may lack: categories from its headers and metadata, and hashes of its content."""
+    own = content_hash(F.col("content"))
+    derived = derived_categories(F.col("headers"), *(F.col(c) for c in ("book", "chapter", "section", "verse", "source", "title")))
+    return rows.withColumns({"categories": F.coalesce("categories", derived), "source_hash": F.coalesce("source_hash", own), "document_hash": F.coalesce("document_hash", own)})
+
+
+def in_batches(rows: DataFrame, size: int, f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """f over batches of at most size rows, as the partitions hold them."""
+
+    def run(frames):
+        for frame in frames:
+            for a in range(0, len(frame), size):
+                yield f(frame.iloc[a : a + size])
+
+    return rows.mapInPandas(run, schema)
+
+
+def export_json(rows: DataFrame, path: str) -> None:
+    """JSON lines, a file for each partition."""
+    rows.write.mode("overwrite").json(path)
+
+
+def read_table(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1, **properties: str) -> DataFrame:
+    """A database table over JDBC; with a numeric key, in so many ranges of it at once. A lost connection costs its task, which Spark runs again."""
+    if key is None:
+        return spark.read.jdbc(url, table, properties=properties)
+    return spark.read.jdbc(url, table, column=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts, properties=properties)

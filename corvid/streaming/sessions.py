@@ -39,6 +39,14 @@ def valid_session(c):
     return F.coalesce(c.rlike(_UUID), F.lit(False))
 
 
+def get_or_create(requests: DataFrame, sessions: DataFrame, fresh=None) -> DataFrame:
+    """Requests with the session they belong to and whether it is new: only a well-formed id that is stored is kept, else a fresh one is given (a random UUID, unless told)."""
+    known = sessions.select(F.col("id").alias("session_id"), F.lit(True).alias("_known")).distinct()
+    kept = valid_session(F.col("session_id")) & F.coalesce("_known", F.lit(False))
+    out = requests.join(known, "session_id", "left").withColumn("is_new", ~kept)
+    return out.withColumn("session_id", F.when(F.col("is_new"), F.uuid() if fresh is None else fresh).otherwise(F.col("session_id"))).drop("_known")
+
+
 def clear(messages: DataFrame, sessions: DataFrame, session: str) -> DataFrame:
     return messages.join(sessions.select(session), session, "left_anti")
 
