@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import __spark_entry__  # noqa: F401  it registers the queries
 from corvid.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
