@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from corvid.llm.vocab import byte_characters, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
 _TABLES: dict[str, list[bytes]] = {}
+_LENGTHS: dict[str, np.ndarray] = {}
 
 
 def byte_table(path: str) -> list[bytes]:
@@ -29,28 +31,50 @@ def byte_table(path: str) -> list[bytes]:
     return _TABLES[path]
 
 
+def byte_lengths(path: str) -> np.ndarray:
+    """How many bytes each id stands for."""
+    if path not in _LENGTHS:
+        _LENGTHS[path] = np.array([len(b) for b in byte_table(path)], np.int64)
+    return _LENGTHS[path]
+
+
 def decode_bytes(ids, path: str) -> bytes:
     """The bytes of a sequence of ids. A character whose bytes are split among ids comes out whole once all of them are joined."""
     return b"".join(map(byte_table(path).__getitem__, ids))
 
 
+def with_offsets(text: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The ids of a text; the first code point that each covers, and the one after its last; how many ids begin within a character.
+
+    Each id stands for as many bytes as its entry in the byte table, and a code point begins at
+    each byte that continues no other. A character split among several ids is in the offsets of each.
+    """
+    ids = np.frombuffer(encoder(path).encode(text), "<u4")
+    data = np.frombuffer(text.encode("utf-8"), np.uint8)
+    leads = data & 0xC0 != 0x80
+    character = np.cumsum(leads, dtype=np.int32)
+    last = np.cumsum(byte_lengths(path)[ids])
+    first = np.concatenate([[0], last[:-1]])[: len(ids)]
+    assert len(ids) == 0 or last[-1] == len(data), "the ids stand for other bytes than the text has"
+    return ids, character[first] - 1, character[last - 1], int((~leads[first]).sum())
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>, starts array<int>, ends array<int>): ids and the code points that each covers.
 
-    A character split among several ids has the same offsets in each. Null and empty texts
+    A character split among several ids is in the offsets of each. Null and empty texts
     give empty arrays; repeated rows give a row each.
     """
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
-        tokenizer = encoder(path).tokenizer
         for batch in batches:
             ids, starts, ends = [], [], []
             for text in batch.column("text"):
-                got = tokenizer.encode(text.as_py(), add_special_tokens=False)
-                ids.append(got.ids)
-                starts.append([a for a, _ in got.offsets])
-                ends.append([b for _, b in got.offsets])
+                i, a, b, _ = with_offsets(text.as_py(), path)
+                ids.append(i.astype(np.int32))
+                starts.append(a)
+                ends.append(b)
             lists = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, lists) for x in (ids, starts, ends))], ["doc_id", "ids", "starts", "ends"])
 
@@ -70,18 +94,24 @@ def decode(ids: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text, encoded and decoded again; null is the empty text."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, n_split, offsets_crc32) of every whole text, encoded with offsets and decoded again.
+
+    n_split counts the ids that begin within a character; offsets_crc32 is of all starts, then
+    all ends, as little-endian unsigned 32-bit integers. Null is the empty text; repeated rows give a row each.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split", "offsets_crc32"]
 
     def run(batches):
-        coder = encoder(path)
         for batch in batches:
-            n, a, b = [], [], []
+            out = []
             for text in batch.column("text"):
-                ids = np.frombuffer(coder.encode(text.as_py()), "<u4").tolist()
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-                b.append(hashlib.sha256(decode_bytes(ids, path)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return text_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                ids, starts, ends, split = with_offsets(text.as_py(), path)
+                ids = ids.tolist()
+                digests = (hashlib.sha256(x).hexdigest() for x in (" ".join(map(str, ids)).encode(), decode_bytes(ids, path)))
+                out.append((len(ids), *digests, split, zlib.crc32(ends.astype("<u4"), zlib.crc32(starts.astype("<u4")))))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
+
+    return text_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, offsets_crc32 long")
