@@ -10,7 +10,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from corvid.llm.common import text_rows
+from corvid.llm.common import lean, text_rows
 from corvid.llm.vocab import byte_characters, encoder
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -78,7 +78,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             lists = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, lists) for x in (ids, starts, ends))], ["doc_id", "ids", "starts", "ends"])
 
-    return text_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, ends array<int>")
+    return text_rows(docs).select("doc_id", "text").mapInArrow(lean(run, encodes=True), "doc_id long, ids array<int>, starts array<int>, ends array<int>")
 
 
 def decode(ids: DataFrame, path: str | None = None) -> DataFrame:
@@ -90,7 +90,7 @@ def decode(ids: DataFrame, path: str | None = None) -> DataFrame:
             texts = [decode_bytes(x.as_py() or (), path).decode("utf-8", "replace") for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return ids.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -114,4 +114,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
             columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
-    return text_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, offsets_crc32 long")
+    return text_rows(docs).select("doc_id", "text").mapInArrow(lean(run, encodes=True), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, offsets_crc32 long")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +50,31 @@ def retexted(docs: DataFrame, out: DataFrame) -> DataFrame:
     return out.select(*(changed[c].alias(c) if c in changed else F.col(f"own.`{c}`").alias(c) for c in docs.columns))
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed: Arrow's pool and, where the C library can, its heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable, encodes: bool = False) -> Callable:
+    """The function of batches, for workers that live on from stage to stage: they would hold the most that any stage took.
+
+    One that encodes nothing begins by forgetting the encoders of earlier stages; each ends by giving memory back.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        vocab = sys.modules.get("corvid.llm.vocab")
+        if vocab and not encodes:
+            vocab.forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

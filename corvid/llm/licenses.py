@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import RID, settled, text_rows
+from corvid.llm.common import RID, lean, settled, text_rows
 
 #: Base phrases: a place counts where all words stand consecutively.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -110,7 +110,7 @@ def scan(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     notices = votes.where(F.col("k") == NOTICE_K).withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT).cast("int"), F.lit(1)))
     notices = notices.withColumn("span", F.sum("new").over(order)).groupBy(RID, *by, "span").agg(F.sum("votes").alias("votes"), F.flatten(F.collect_list("hits")).alias("hits"))
     enough = F.col("votes") >= F.ceil(F.col("grams") * SHARE)
-    notices = notices.where(enough).select(RID, *by, "hits").mapInArrow(_chains, f"{RID} long, template int, label string, k int, grams int, votes long, first int, last int")
+    notices = notices.where(enough).select(RID, *by, "hits").mapInArrow(lean(_chains), f"{RID} long, template int, label string, k int, grams int, votes long, first int, last int")
     notices = notices.where(enough).select(RID, "template", "label", "k", "first", (F.col("last") + NOTICE_K - 1).alias("last"), "votes", "grams")
     spans = phrases.unionByName(notices).withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("grams")))
     return spans, rows.select(RID, "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))

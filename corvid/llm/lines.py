@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import RID, Workspace, retexted, settled, text_rows, whole_rows
+from corvid.llm.common import RID, Workspace, lean, retexted, settled, text_rows, whole_rows
 from corvid.llm.components import classes, forest, group_heads, in_blocks, once, sharing, whole_groups
 from corvid.llm.words import Chunk, Runs, chunks, mix
 
@@ -155,7 +155,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 at = pa.array(text[own] + c.first)
                 yield pa.RecordBatch.from_arrays([batch.column(RID).take(at), batch.column("doc_id").take(at), pa.array(number[own]), pa.array(ids, pa.binary())], [RID, "doc_id", "line_no", "id"])
 
-    return text_rows(docs).mapInArrow(run, f"{RID} long, doc_id long, line_no long, id binary")
+    return text_rows(docs).mapInArrow(lean(run), f"{RID} long, doc_id long, line_no long, id binary")
 
 
 def _distinct(chunk: Chunk) -> tuple[Runs, np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +178,7 @@ def keys(docs: DataFrame, edits: int) -> DataFrame:
                 ids = np.repeat(ids, found.shape[1])[found.ravel() != _NONE]
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (found[found != _NONE], ids)], ["key", "id"])
 
-    return text_rows(docs).select("text").mapInArrow(run, "key long, id long")
+    return text_rows(docs).select("text").mapInArrow(lean(run), "key long, id long")
 
 
 def bodies(docs: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def bodies(docs: DataFrame) -> DataFrame:
                 own = [bytes(x) for x in _spans(c, a, b)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary()), pa.array(own, pa.binary())], ["id", "digest", "body"])
 
-    return text_rows(docs).select("text").mapInArrow(run, "id long, digest binary, body binary")
+    return text_rows(docs).select("text").mapInArrow(lean(run), "id long, digest binary, body binary")
 
 
 def _pairs(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +260,7 @@ def line_links(docs: DataFrame, work: Workspace, edits: int = EDITS) -> tuple[Da
         for part in whole_groups(batches):
             yield _linked(part, edits)
 
-    found = work.put(in_blocks(shared.join(texts, "id"), "digest", "digest", "body").mapInArrow(run, "a binary, b binary, links long"), "links")
+    found = work.put(in_blocks(shared.join(texts, "id"), "digest", "digest", "body").mapInArrow(lean(run), "a binary, b binary, links long"), "links")
     work.drop(shared, texts)
     counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     return counts, classes(found.where("b is not null").select("a", "b"), work)
@@ -310,4 +310,4 @@ def without_repeats(docs: DataFrame, edits: int = EDITS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(texts, pa.string())], ["own", "text"])
 
     wide = whole_rows(docs).join(dropped, RID, "left").select("own", "text", "drop")
-    return retexted(docs, wide.mapInArrow(run, wide.select("own", "text").schema))
+    return retexted(docs, wide.mapInArrow(lean(run), wide.select("own", "text").schema))

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import RID, Workspace, settled, text_rows
+from corvid.llm.common import RID, Workspace, lean, settled, text_rows
 from corvid.llm.components import classes, find, group_heads, in_blocks, once, sharing, whole_groups
 from corvid.llm.words import Chunk, Runs, chunks, mix, powers
 
@@ -240,7 +240,7 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, samples: int = SAMPLES
                 [RID, "doc_id", "digest", "size", "keys"],
             )
 
-    sketched = work.put(rows.mapInArrow(run, out), "sketches")
+    sketched = work.put(rows.mapInArrow(lean(run), out), "sketches")
     lead = sketched.groupBy("digest").agg(F.min(F.struct(RID, "size", "keys")).alias("s")).select("digest", F.col(f"s.{RID}").alias("id"), "s.size", "s.keys")
     lead = work.put(lead, "distinct")
     keyed = lead.select("id", "size", F.explode(F.array_distinct("keys")).alias("key")).where(F.col("key") != -1)
@@ -252,7 +252,7 @@ def near_classes(docs: DataFrame, least: float = SIMILAR, samples: int = SAMPLES
         for part in whole_groups(batches):
             yield _linked(part, least)
 
-    links = work.put(in_blocks(shared.join(texts, "id"), "id", "id", "keys", "body").mapInArrow(link, "a long, b long"), "links")
+    links = work.put(in_blocks(shared.join(texts, "id"), "id", "id", "keys", "body").mapInArrow(lean(link), "a long, b long"), "links")
     work.drop(shared, texts)
     root = classes(links, work)
     known = lead.select("digest", "id").join(root, "id", "left").select("digest", F.coalesce("root", "id").alias("root"))

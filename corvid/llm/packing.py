@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import Workspace, text_rows
+from corvid.llm.common import Workspace, lean, text_rows
 from corvid.llm.vocab import encoder
 
 VOCABULARY, END, CAPACITY = "byte_bpe_50k.json", 1, 2048
@@ -97,7 +97,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
                     ranks[length] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 7)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
 
-    return text_rows(docs).select("doc_id", "text").mapInArrow(run, f"{PIECE}, part long, rank long")
+    return text_rows(docs).select("doc_id", "text").mapInArrow(lean(run, encodes=True), f"{PIECE}, part long, rank long")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -129,4 +129,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
                 sequence[own], offset[own] = row[:, 2] + q, row[:, 3] + r * k
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, f"{PIECE}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run), f"{PIECE}, sequence_id long, offset long")

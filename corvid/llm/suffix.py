@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import RID, Workspace, retexted, settled, text_rows, whole_rows
+from corvid.llm.common import RID, Workspace, give_back, lean, retexted, settled, text_rows, whole_rows
 
 #: Bytes of a string and of an anchor's gram, contexts of a gram in one shard, contexts a shard.
 LENGTH, GRAM, PER_GRAM, PER_SHARD = 400, 100, 2000, 2500
@@ -104,7 +104,7 @@ def anchors(rows: DataFrame, length: int, gram: int) -> DataFrame:
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    return rows.select(RID, "text").mapInArrow(gathered, f"{RID} long, s0 long, n long, f long, c binary")
+    return rows.select(RID, "text").mapInArrow(lean(gathered), f"{RID} long, s0 long, n long, f long, c binary")
 
 
 def refine(rank: np.ndarray, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -273,7 +273,7 @@ def repeats(docs: DataFrame, work: Workspace, length: int = LENGTH, gram: int =
                     [RID, "s0", "n", "f", "cnt", "m", "sub", "ctx"],
                 )
 
-    cut_out = rows.join(listed, RID).select(RID, "text", "s").mapInArrow(cut, f"{RID} long, s0 long, n long, f long, cnt long, m int, sub int, ctx binary")
+    cut_out = rows.join(listed, RID).select(RID, "text", "s").mapInArrow(lean(cut), f"{RID} long, s0 long, n long, f long, cnt long, m int, sub int, ctx binary")
     shards = max(1, -(-total // PER_SHARD))
     sharded = cut_out.withColumn("shard", F.pmod(F.xxhash64("f", "sub"), F.lit(shards)).cast("int"))
     sorted_ = work.put(sharded.groupBy("shard").applyInPandas(lambda pdf: _in_parts(pdf, length), _RANGES), "sorted")
@@ -296,6 +296,7 @@ def _in_parts(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
             a, filled = g, 0
         filled += b
     out.append(shard_repeats(pdf[group >= a], length))
+    give_back()
     return pd.concat(out)
 
 
@@ -336,7 +337,7 @@ def query(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, [pa.int64()] * 4 + [pa.string()] * 2, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
     rows = text_rows(docs).join(_listed(docs, length, gram), RID, "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -352,4 +353,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(texts, pa.string())], ["own", "text"])
 
     wide = whole_rows(docs).join(_listed(docs, length, gram), RID, "left").select("own", "text", "spans")
-    return retexted(docs, wide.mapInArrow(run, wide.select("own", "text").schema))
+    return retexted(docs, wide.mapInArrow(lean(run), wide.select("own", "text").schema))

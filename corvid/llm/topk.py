@@ -9,7 +9,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.common import RID, settled
+from corvid.llm.common import RID, lean, settled
 
 #: Vectors in a block, blocks in a shard, queries in a group.
 BLOCK, SHARD, GROUP = 256, 32, 4096
@@ -40,7 +40,7 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
                         ["block", "dim", "n", "rids", "ids", "data"],
                     )
 
-    return rows.mapInArrow(run, _PACKED)
+    return rows.mapInArrow(lean(run), _PACKED)
 
 
 def _matrix(row) -> np.ndarray:

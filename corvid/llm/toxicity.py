@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvid.llm.common import Workspace, text_rows
+from corvid.llm.common import Workspace, lean, text_rows
 
 #: n-gram sizes, hash buckets, most training documents of each label, n-grams kept, characters per numpy block.
 SIZES, BITS, SAMPLE, KEPT, STRETCH = (3, 4, 5, 6), 20, 2000, 4096, 1 << 20
@@ -102,7 +102,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *(pa.array(seen[k, own].astype(np.int64)) for k in (0, 1))], ["bucket", "n0", "n1"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([n], pa.int64()) for n in texts)], ["bucket", "n0", "n1"])
 
-    counts = rows.select("toxic", "text").mapInArrow(run, "bucket int, n0 long, n1 long")
+    counts = rows.select("toxic", "text").mapInArrow(lean(run), "bucket int, n0 long, n1 long")
     return counts.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             own = [at[features(t.as_py())] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([x[x >= 0].astype("<u2").tobytes() for x in own], pa.binary())], ["doc_id", "toxic", "grams"])
 
-    held = rows.mapInArrow(run, "doc_id long, toxic int, grams binary").orderBy("doc_id", "grams").collect()
+    held = rows.mapInArrow(lean(run), "doc_id long, toxic int, grams binary").orderBy("doc_id", "grams").collect()
     y = np.array([r["toxic"] for r in held], float)
     x = np.zeros((len(y), len(kept)), np.float32)
     for k, r in enumerate(held):
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*batch.schema.names, name])
 
     schema = type(docs.schema)([*docs.schema.fields]).add(name, "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -102,3 +102,10 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Drops this process's encoders with the chunks they remember."""
+    for own in _ENCODERS.values():
+        own.head, own.spaced = None, None
+    _ENCODERS.clear()
