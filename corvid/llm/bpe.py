@@ -90,7 +90,7 @@ def decode(ids: DataFrame, path: str | None = None) -> DataFrame:
             texts = [decode_bytes(x.as_py() or (), path).decode("utf-8", "replace") for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
+    return ids.select("doc_id", "ids").mapInArrow(lean(run, encodes=True), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -60,7 +60,7 @@ def give_back() -> None:
 def lean(run: Callable, encodes: bool = False) -> Callable:
     """The function of batches, for workers that live on from stage to stage: they would hold the most that any stage took.
 
-    One that encodes nothing begins by forgetting the encoders of earlier stages; each ends by giving memory back.
+    Those of an operator that encodes nothing begin by forgetting the encoders of earlier stages; each ends by giving memory back.
     """
 
     def wrapped(batches: Iterator) -> Iterator:

@@ -151,7 +151,7 @@ def id_counts(blocks: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
-    rows = blocks.select("sizes", "ids").mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = blocks.select("sizes", "ids").mapInArrow(lean(run, encodes=True), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(max((r["id"] for r in rows), default=0) + 1, np.int64)
     for r in rows:
         out[r["id"]] = r["n"]
@@ -183,7 +183,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, max_bits: i
                 marks.append(begins.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], ["part", "block", "start", "doc_ids", "sizes", "n", "bits", "checkpoints"])
 
-    blocks.mapInArrow(lean(run), "part int, block int, start long, doc_ids array<long>, sizes array<long>, n long, bits binary, checkpoints binary").write.parquet(f"{path}/blocks")
+    blocks.mapInArrow(lean(run, encodes=True), "part int, block int, start long, doc_ids array<long>, sizes array<long>, n long, bits binary, checkpoints binary").write.parquet(f"{path}/blocks")
     totals = {r["part"]: r["n"] for r in spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n")).collect()}
     parts = [totals.get(k, 0) for k in range(max(totals, default=-1) + 1)]
     spark.createDataFrame([(bytearray(packed), parts)], "lengths binary, parts array<long>").coalesce(1).write.parquet(f"{path}/code")
@@ -208,7 +208,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    return spark.read.parquet(f"{path}/blocks").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
+    return spark.read.parquet(f"{path}/blocks").mapInArrow(lean(run, encodes=True), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest(rows: DataFrame) -> DataFrame:

@@ -129,4 +129,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
                 sequence[own], offset[own] = row[:, 2] + q, row[:, 3] + r * k
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(lean(run), f"{PIECE}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(run, encodes=True), f"{PIECE}, sequence_id long, offset long")
