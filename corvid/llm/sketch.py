@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from corvid.llm.common import RID, Workspace, partitions, settled, text_rows
 
-#: Cells in each of the three subtables of a fingerprint, how much larger a pair's next sketch is once one of its own size has failed, and passes over the subtables while peeling: fingerprints hold few keys, so one pass tells.
-CELLS, LARGER, PASSES, FIRST_PASSES = 8, 4, 2, 1
+#: Subtables of a fingerprint and cells in each; subtables of a pair's own sketch and cells for each key in them, at least (only cells in use are rows, so more cost nothing, and one pass peels nearly all), and how much larger the next one is once that has failed.
+TABLES, CELLS, OWN_TABLES, ROOM, LARGER = 3, 8, 2, 32, 4
 #: A paragraph ends with its line, and within a long line after a sentence.
 _END = r"\n|(?<=[.!?])\s+"
 
@@ -55,56 +55,58 @@ def versions(docs: DataFrame, work: Workspace) -> DataFrame:
 
 
 def _cell(key: Column, table: int, cells: Column) -> Column:
-    return (F.pmod(F.xxhash64(key, cells * 4 + table), cells) + cells * table).cast("int")
+    return (F.pmod(F.xxhash64(key, cells * 4 + table), cells) + cells * table).cast("long")
 
 
 def _check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(-7))
 
 
-def sketches(keys: DataFrame, *by: str) -> DataFrame:
+def sketches(keys: DataFrame, tables: int, *by: str) -> DataFrame:
     """(*by, cells, cell, n, key, check) of keys (*by, cells, n, key): by place the counts, and the exclusive-ors of the keys and of their check sums, of the cells in use.
 
-    Each key has a cell in each of three subtables of so many cells. Keys with n = -1 take a
+    Each key has a cell in each of the subtables of so many cells. Keys with n = -1 take a
     sketch away from another of the same size, cell by cell.
     """
-    placed = keys.select(*by, "cells", "n", "key", _check(F.col("key")).alias("check"), F.explode(F.array(*(_cell(F.col("key"), t, F.col("cells")) for t in range(3)))).alias("cell"))
+    placed = keys.select(*by, "cells", "n", "key", _check(F.col("key")).alias("check"), F.explode(F.array(*(_cell(F.col("key"), t, F.col("cells")) for t in range(tables)))).alias("cell"))
     cells = placed.groupBy(*by, "cells", "cell").agg(F.sum("n").alias("n"), F.expr("bit_xor(key)").alias("key"), F.expr("bit_xor(check)").alias("check"))
     return cells.where("n != 0 or key != 0 or check != 0")
 
 
-def peel(difference: DataFrame, passes: int = PASSES) -> DataFrame:
-    """(RID, pair, cells, cell, n, key): recovered keys with cell -1 and n 1 or -1 by the side that has them, and the cells that stay.
+def peel(difference: DataFrame, tables: int) -> DataFrame:
+    """(RID, pair, left, differ): by pair the keys recovered from a subtracted sketch, counted, and the cells that did not give theirs.
 
-    A cell that holds one key gives it away: n is 1 or -1 and the check sum agrees. Each step
-    takes those cells of one subtable, where a key has one cell, and takes their keys out of all
-    three. All steps work on one pair's cells within one partition.
+    A cell that holds one key gives it away: n is 1 or -1 and the check sum agrees. Each key has
+    one cell in each subtable. So a subtable gives what is alone in it, its other cells are done
+    with, and its keys leave the later subtables. If in the end every cell of the last one holds
+    one key, all keys are known. All steps work on one pair's cells within one partition.
     """
-    at, cells = difference.withColumn("found", F.lit(0).cast("long")), F.col("cells")
-    row = lambda cell, n, key, check, found: F.struct(cell.alias("cell"), n.cast("long").alias("n"), key.alias("key"), check.alias("check"), found.alias("found"))
+    at, cells = difference, F.col("cells")
+    row = lambda cell, n, key, check: F.struct(cell.cast("long").alias("cell"), n.cast("long").alias("n"), key.alias("key"), check.alias("check"))
     zero = F.lit(0).cast("long")
-    for k in range(passes * 3):
-        table = k % 3
-        pure = (F.abs("n") == 1) & (F.col("check") == _check(F.col("key"))) & (F.col("cell") == _cell(F.col("key"), table, cells))
-        own = row(F.col("cell"), F.col("n"), F.col("key"), F.col("check"), F.col("found"))
-        out = [row(_cell(F.col("key"), t, cells), -F.col("n"), F.col("key"), F.col("check"), zero) for t in range(3)]
-        given = row(F.lit(-1), F.col("n"), zero, zero, F.col("key"))
-        at = at.select(RID, "pair", "cells", F.explode(F.when((F.col("cell") >= 0) & pure, F.array(own, *out, given)).otherwise(F.array(own))).alias("s")).select(RID, "pair", "cells", "s.*")
-        at = at.groupBy(RID, "pair", "cells", "cell", "found").agg(F.sum("n").alias("n"), F.expr("bit_xor(key)").alias("key"), F.expr("bit_xor(check)").alias("check")).where("cell < 0 or n != 0 or key != 0 or check != 0")
-    return at.select(RID, "pair", "cells", "cell", "n", F.when(F.col("cell") < 0, F.col("found")).otherwise(F.col("key")).alias("key"))
+    pure = lambda t: (F.abs("n") == 1) & (F.col("check") == _check(F.col("key"))) & (F.col("cell") == _cell(F.col("key"), t, cells))
+    for t in range(tables - 1):
+        own = row(F.col("cell"), F.col("n"), F.col("key"), F.col("check"))
+        later = [row(_cell(F.col("key"), u, cells), -F.col("n"), F.col("key"), F.col("check")) for u in range(t + 1, tables)]
+        steps = F.when((F.col("cell") < 0) | (F.col("cell") >= cells * (t + 1)), F.array(own)).when(pure(t), F.array(*later, row(F.lit(-1), F.lit(1), zero, zero)))
+        at = at.select(RID, "pair", "cells", F.explode(steps).alias("s")).select(RID, "pair", "cells", "s.*")
+        at = at.groupBy(RID, "pair", "cells", "cell").agg(F.sum("n").alias("n"), F.expr("bit_xor(key)").alias("key"), F.expr("bit_xor(check)").alias("check")).where("n != 0 or key != 0 or check != 0")
+    last = pure(tables - 1)
+    given = F.when(F.col("cell") < 0, F.col("n")).when(last, 1).otherwise(0)
+    return at.groupBy(RID, "pair").agg(F.count(F.when((F.col("cell") >= 0) & ~last, 1)).alias("left"), F.sum(given).alias("differ"))
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:
     """(RID, fingerprint, edited_fingerprint) of versions: the cells in use as text, place, count, key and check sum of each."""
     sides = F.explode(F.array(*(F.struct(F.lit(k).alias("v"), F.col(x).alias("d")) for k, x in enumerate("ab"))))
-    keys = rows.select(RID, sides.alias("s")).select(RID, "s.v", F.lit(CELLS).cast("long").alias("cells"), F.lit(1).cast("long").alias("n"), F.explode("s.d").alias("key"))
+    keys = rows.select(RID, "a", "b").repartition(partitions(rows.sparkSession), RID).select(RID, sides.alias("s")).select(RID, "s.v", F.lit(CELLS).cast("long").alias("cells"), F.lit(1).cast("long").alias("n"), F.explode("s.d").alias("key"))
     cell = F.struct("v", "cell", F.concat_ws("-", F.hex("cell"), F.hex("n"), F.hex("key"), F.hex("check")).alias("s"))
     text = lambda k: F.array_join(F.transform(F.filter("c", lambda c: c["v"] == k), lambda c: c["s"]), ".")
-    found = sketches(keys, RID, "v").groupBy(RID).agg(F.array_sort(F.collect_list(cell)).alias("c"))
+    found = sketches(keys, TABLES, RID, "v").groupBy(RID).agg(F.array_sort(F.collect_list(cell)).alias("c"))
     return found.select(RID, text(0).alias("fingerprint"), text(1).alias("edited_fingerprint"))
 
 
-def differences(pending: DataFrame, rows: DataFrame) -> DataFrame:
+def differences(pending: DataFrame, rows: DataFrame, tables: int) -> DataFrame:
     """The subtracted sketches, (RID, pair, cells, cell, n, key, check), of pending pairs (RID, pair, other, cells): pair 1 is a text and its edited text, pair 2 a text and the other."""
     n = partitions(rows.sparkSession)
     one = rows.select(RID, F.col("a").alias("x"), F.col("b").alias("edited"))
@@ -114,7 +116,7 @@ def differences(pending: DataFrame, rows: DataFrame) -> DataFrame:
     pairs = near.unionByName(far).repartition(n, RID).join(one.repartition(n, RID), RID)
     sides = F.array(F.struct(F.lit(1).cast("long").alias("n"), F.col("x").alias("d")), F.struct(F.lit(-1).cast("long").alias("n"), F.when(F.col("pair") == 1, F.col("edited")).otherwise(F.col("y")).alias("d")))
     keys = pairs.select(RID, "pair", "cells", F.explode(sides).alias("s")).select(RID, "pair", "cells", "s.n", F.explode("s.d").alias("key"))
-    return sketches(keys, RID, "pair")
+    return sketches(keys, tables, RID, "pair")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def query(docs: DataFrame) -> DataFrame:
 
     Likeness is the share of different paragraphs in common: those that differ come from
     peeling the difference of two sketches. All pairs begin with their fingerprints. Of pairs
-    that don't peel, sketches are taken again, with subtables of twice as many cells as
+    that don't peel, sketches are taken again, with two subtables of ROOM times as many cells as
     both have paragraphs, and LARGER times as many each time that fails, until all peel.
     Two texts without paragraphs are alike (1). A document alone is its own next.
     """
@@ -130,15 +132,13 @@ def query(docs: DataFrame) -> DataFrame:
     rows = versions(settled(docs), work)
     size = rows.select(RID, F.col("next").alias("other"), F.size("a").alias("na"), F.size("b").alias("nb"))
     next_size = size.select(F.col(RID).alias("other"), F.col("na").alias("nc"))
-    # Twice as many cells in a subtable as keys at most, a power of two: only cells in use are rows, and most keys are alone in theirs.
-    enough = lambda x, y: F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(2.0 * CELLS), (x + y) * 2.0)))).cast("long")
+    enough = lambda x, y: F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(2.0 * CELLS), (x + y) * float(ROOM))))).cast("long")
     pairs = F.array(F.struct(F.lit(1).alias("pair"), enough(F.col("na"), F.col("nb")).alias("next_cells")), F.struct(F.lit(2).alias("pair"), enough(F.col("na"), F.col("nc")).alias("next_cells")))
     known = work.put(size.join(next_size, "other"), "sizes")
     pending, solved, turn = known.select(RID, "other", F.explode(pairs).alias("p")).select(RID, "other", "p.*").withColumn("cells", F.lit(CELLS).cast("long")), [], 0
     while True:
-        peeled = peel(differences(pending.select(RID, "pair", "other", "cells"), rows), PASSES if turn else FIRST_PASSES)
-        done = peeled.groupBy(RID, "pair").agg(F.count(F.when(F.col("cell") >= 0, 1)).alias("left"), F.count(F.when((F.col("cell") < 0) & (F.col("n") != 0), 1)).alias("differ"))
-        done = work.put(done, f"peeled-{turn}")
+        tables = OWN_TABLES if turn else TABLES
+        done = work.put(peel(differences(pending.select(RID, "pair", "other", "cells"), rows, tables), tables), f"peeled-{turn}")
         solved.append(done.where("left = 0").select(RID, "pair", "differ"))
         failed = pending.join(done.where("left > 0").select(RID, "pair"), [RID, "pair"]).select(RID, "other", "pair", F.col("next_cells").alias("cells"), (F.col("next_cells") * LARGER).alias("next_cells"))
         pending, before = work.put(failed, f"pending-{turn}"), pending if turn else None

@@ -45,3 +45,16 @@ def test_fingerprints(spark, odd, none, sf):
 def test_no_python_in_the_plan(spark, sf):
     plan = sketch.query(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_peeling_is_one_short_pass(spark):
+    """Sketches of a pair's own size give all keys in one step less than they have subtables, and fingerprints move their paragraphs once."""
+    side = lambda lo, hi, n: spark.range(lo, hi).selectExpr("1L AS __rid", "1 AS pair", f"{32 * 8192}L AS cells", f"{n}L AS n", "xxhash64(id) AS key")
+    keys = side(0, 3000, 1).unionByName(side(1000, 5000, -1)).repartition(2, "__rid")
+    peeled = sketch.peel(sketch.sketches(keys, sketch.OWN_TABLES, "__rid", "pair"), sketch.OWN_TABLES)
+    assert [(r["left"], r["differ"]) for r in peeled.collect()] == [(0, 3000)]
+    assert peeled._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3
+    full = side(0, 3000, 1).selectExpr("__rid", "pair", "8L AS cells", "n", "key")
+    assert [r["left"] > 0 for r in sketch.peel(sketch.sketches(full, 3, "__rid", "pair"), 3).collect()] == [True]
+    rows = spark.createDataFrame([(1, [1, 2], [2, 3])], "__rid long, a array<long>, b array<long>")
+    assert sketch.fingerprint(rows)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
