@@ -24,7 +24,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out the bytes under strings of 400 bytes that start elsewhere, too; every document stays."""
+    """Takes out the bytes under strings of 400 bytes or of 50 words that start elsewhere, too; every document stays."""
     return suffix.without_repeats(docs)
 
 

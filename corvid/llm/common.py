@@ -119,7 +119,14 @@ class Workspace:
         out._at = at
         return out
 
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *dfs: DataFrame) -> None:
         for df in dfs:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(df._at)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            self._delete(df._at)
+
+    def clear(self) -> None:
+        """Deletes all tables put here."""
+        self._delete(self.root)

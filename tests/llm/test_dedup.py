@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -306,6 +307,51 @@ def test_suffix_repeats(spark, odd, none, monkeypatch):
     assert not suffix.repeats(none, Workspace(spark)).count()
 
 
+def brute_words(texts, length):
+    """The texts without runs of words under strings of so many words that start elsewhere, too; the white space around a run stays."""
+    count, out = Counter(), []
+    at = [list(re.finditer(r"\S+", t)) for t in texts]
+    words = [[m.group() for m in x] for x in at]
+    for w in words:
+        count.update(tuple(w[k : k + length]) for k in range(len(w) - length + 1))
+    for t, x, w in zip(texts, at, words):
+        gone = {j for k in range(len(w) - length + 1) if count[tuple(w[k : k + length])] > 1 for j in range(k, k + length)}
+        keep, end = [], 0
+        for j in sorted(gone):
+            a = x[j - 1].end() if j - 1 in gone else x[j].start()
+            keep.append(t[end:a])
+            end = x[j].end()
+        out.append("".join(keep) + t[end:])
+    return out
+
+
+def test_suffix_repeats_of_words(spark, monkeypatch):
+    rng = random.Random(9)
+    parts = [[rng.choice(["a", "bé", "c,", "dd"]) for _ in range(rng.randrange(3, 14))] for _ in range(14)]
+    texts = ["".join(w + rng.choice([" ", "\n", "  "]) for _ in range(rng.randrange(7)) for w in (rng.choice(parts) if rng.random() < 0.5 else [str(rng.randrange(30)) for _ in range(rng.randrange(9))])) for _ in range(70)]
+    texts += ["", " ", "a a a a a a a a", "one", "x y z u"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_words(texts, 5)
+    assert sum(a != b for a, b in zip(texts, want)) > 20 and sum(a == b for a, b in zip(texts, want)) > 10
+    for per_gram, per_shard in ((2000, 2500), (3, 20)):
+        monkeypatch.setattr(suffix, "PER_GRAM", per_gram), monkeypatch.setattr(suffix, "PER_SHARD", per_shard)
+        got = {r["doc_id"]: r["text"] for r in suffix.without_repeats(df, 5000, 100, 5, 2).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+
+
+def test_passages_of_over_50_words_go_whatever_their_bytes(spark):
+    rng = random.Random(10)
+    word = lambda n=3: "".join(rng.choice("abcdefghij") for _ in range(n))
+    words = lambda k: " ".join(word(rng.randrange(2, 7)) for _ in range(k))
+    passage, short, long = words(51), words(49), "".join(word() for _ in range(150))
+    assert len(passage) < 400 and len(short) < 400 and len(long) == 450
+    texts = [f"{words(30)} {p} {words(30)}" for p in (passage, passage.replace(" ", "\n"), short, short, long, long, words(80))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in suffix.without_repeats(df).collect()}
+    assert len(got) == 7 and all(len(got[k].split()) == 60 for k in (0, 1))
+    assert all(long not in got[k] for k in (4, 5)) and all(got[k] == texts[k] for k in (2, 3, 6))
+
+
 def test_suffix_order_and_prefixes():
     rng = random.Random(7)
     for _ in range(30):
