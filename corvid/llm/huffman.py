@@ -103,30 +103,35 @@ def tokenized_blocks(docs: DataFrame, path: str) -> DataFrame:
     """Blocks of whole documents' ids in ascending doc_id order (nulls first), END after each; part and block number them, start counts the ids of the part before the block."""
     spark = docs.sparkSession
     ordered = text_rows(docs).repartitionByRange(partitions(spark), "doc_id", RID).sortWithinPartitions("doc_id", RID)
-    end = np.array([END], "<u4").tobytes()
 
     def run(batches):
         coder, part, block, start = encoder(path), TaskContext.get().partitionId(), 0, 0
         held, sizes, ids, total = [], [], [], 0
+        kind = "<u2" if coder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
         def flush():
             nonlocal block, start, held, sizes, ids, total
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([np.frombuffer(b"".join(ids), "<u4").astype("<u2" if small else "<u4").tobytes()], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([held], pa.list_(pa.int64())), pa.array([np.concatenate(sizes)], pa.list_(pa.int64())), pa.array([np.concatenate(ids).tobytes()], pa.binary())],
                 ["part", "block", "start", "doc_ids", "sizes", "ids"],
             )
             block, start, held, sizes, ids, total = block + 1, start + total, [], [], [], 0
             return out
 
-        small = coder.tokenizer.get_vocab_size() <= 1 << 16
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids.append(coder.encode(text.as_py()) + end)
-                held.append(doc_id.as_py())
-                sizes.append(len(ids[-1]) // 4)
-                total += sizes[-1]
-                if total >= BLOCK_IDS:
-                    yield flush()
+            doc_ids, at = batch.column("doc_id").to_pylist(), 0
+            for own, size in coder.columns(batch.column("text"), END):
+                ends, a, done = np.cumsum(size), 0, 0
+                while a < len(size):  # a block takes whole documents until it is full
+                    b = min(int(np.searchsorted(ends, done + BLOCK_IDS - total)) + 1, len(size))
+                    upto = int(ends[b - 1])
+                    held += doc_ids[at + a : at + b]
+                    sizes.append(size[a:b])
+                    ids.append(own[done:upto].astype(kind))
+                    total, a, done = total + upto - done, b, upto
+                    if total >= BLOCK_IDS:
+                        yield flush()
+                at += len(size)
         if held:
             yield flush()
 

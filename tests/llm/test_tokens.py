@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from corvid.llm import bpe, huffman, packing
 from corvid.llm.common import Workspace
@@ -93,6 +94,26 @@ def test_chunks_equal_library(text):
         assert np.frombuffer(encoder(path).encode(text), "<u4").tolist() == reference(name)(text)
 
 
+def test_columns_equal_library_and_look_up_each_chunk_once(odd, monkeypatch):
+    from corvid.llm import vocab
+
+    texts = [r["text"] or "" for r in odd.collect()] + ["Don't, don't; Straße\u00a0ﬁ İI\u0307 ΣΑΣ ΟΔΟΣ, H\u0331a é$$$ don't's!' <|endoftext|> a_b c--d x²; 3.14\n\nThe the, the.", "a" * 300 + " b"] * 3
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        for side, remembered in ((1 << 23, 1_000_000), (40, 6)):
+            monkeypatch.setattr(vocab, "SIDE_BY_SIDE", side), monkeypatch.setattr(vocab, "HELD_CHUNKS", remembered)
+            own = vocab.Encoder(public_tokenizers.path(name))
+            parts = list(own.columns(pa.array(texts, pa.string()), 1))
+            ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [reference(name)(t) + [1] for t in texts]
+    own, asked = vocab.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    word = own._word
+    monkeypatch.setattr(own, "_word", lambda c: asked.append(c) or word(c))
+    monkeypatch.setattr(vocab, "HELD_CHUNKS", 1_000_000)
+    for _ in range(3):
+        list(own.columns(pa.array(["Le chat noir... chien!", "le chat"] * 5), 1))
+    assert sorted(asked) == ["Le", "chat", "chien", "le", "noir"]
+
+
 def test_files_round_trip(spark, odd, none, sf):
     ids = reference("word_bpe_49k.json")
     for df in (odd, spark.read.parquet(f"{sf}/documents.parquet")):
