@@ -61,8 +61,9 @@ def location_variants(t: Tables):
 @query("""WITH n AS (SELECT event_id, event_id * event_id * (1 + 100000 * (event_id % 4)) AS n FROM events)
 SELECT event_id, CASE WHEN n < 1024 THEN printf('%.1fB', n * 1.0::DOUBLE) WHEN n < 1048576 THEN printf('%.1fKB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1fMB', n / 1048576.0::DOUBLE) WHEN n < 1099511627776 THEN printf('%.1fGB', n / 1073741824.0::DOUBLE) ELSE printf('%.1fTB', n / 1099511627776.0::DOUBLE) END AS size FROM n""")
 def format_bytes(t: Tables):
-    k = F.col("event_id").cast("long")
-    return t.events.select("event_id", T.format_bytes(k * k * (1 + 100000 * (k % 4))).alias("size"))
+    # Doubles: a product of longs overflows from an id of some 5.5 million on. While it does not, both give the same rows.
+    k = F.col("event_id").cast("double")
+    return t.events.select("event_id", T.format_bytes(k * k * (1 + 100000 * (F.col("event_id") % 4))).alias("size"))
 
 
 @query("""WITH p AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN '<Thinking>' || role || chr(10) || '</reasoning>' || text WHEN turn % 3 = 1 THEN '<thinking>' || text ELSE '<reasoning>' || text || '</reasoning>' END AS p FROM conversations),
