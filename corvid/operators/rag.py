@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +20,60 @@ NO_ANSWER = "No relevant information found in the database."
 SYSTEM = "Answer from the context alone and cite its references in square brackets."
 
 
+#: What stands between two results in a context.
+RULE = "\n\n---\n\n"
+
+
+def result_text(location: Column, chunks: Column) -> Column:
+    """The text under a result's header: its chunks, without its own location at their start. Null if there is none."""
+    texts = F.array_join(F.filter(F.transform(chunks, squash), lambda t: t != ""), "\n\n")
+    return F.when(texts != "", strip_leading_ref(texts, location))
+
+
 def format_context(results: DataFrame, group: str | None = None) -> DataFrame:
     """One text of results (position, location, chunks array<string>): a header line and the chunks; results without text are left out. NO_CONTEXT if none is left."""
-    texts = F.array_join(F.filter(F.transform("chunks", squash), lambda t: t != ""), "\n\n")
     header = F.when(F.coalesce(F.col("location"), F.lit("")) != "", F.concat(F.lit("["), F.col("location"), F.lit("]"))).otherwise(F.concat(F.lit("["), F.col("position").cast("string"), F.lit("]")))
-    block = results.withColumn("_t", texts).withColumn("_s", F.when(F.col("_t") != "", F.concat(header, F.lit("\n"), strip_leading_ref(F.col("_t"), F.col("location")))))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct("position", "_s")))), lambda x: x["_s"]), "\n\n---\n\n")
+    block = results.withColumn("_s", F.concat(header, F.lit("\n"), result_text(F.col("location"), F.col("chunks"))))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct("position", "_s")))), lambda x: x["_s"]), RULE)
     out = block.groupBy(*([group] if group else [])).agg(joined.alias("context"))
     return out.withColumn("context", F.when(F.coalesce("context", F.lit("")) == "", NO_CONTEXT).otherwise(F.col("context")))
 
 
+def context_md5(results: DataFrame, group: str, *order: Column) -> DataFrame:
+    """(group, n_results, context_md5): of each group's results (location, chunks), numbered in the given order, how many have text, and the digest of what format_context makes of them.
+
+    A group's results stream by in order, so none of its context is held.
+    """
+    kind = results.schema[group].dataType
+    rows = results.select(group, F.nullif("location", F.lit("")).cast("binary").alias("_l"), result_text(F.col("location"), F.col("chunks")).cast("binary").alias("_t"), *(c.alias(f"_o{k}") for k, c in enumerate(order)))
+    dealt = rows.repartition(F.col(group)).sortWithinPartitions(group, *(F.col(f"_o{k}").asc_nulls_last() for k in range(len(order)))).select(group, "_l", "_t")
+
+    def run(batches):
+        form, key, digest, position, n, began = None, None, None, 0, 0, False
+
+        def ended():
+            if not n:
+                digest.update(NO_CONTEXT.encode())
+            return pa.RecordBatch.from_arrays([pa.array([key], form), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], [group, "n_results", "context_md5"])
+
+        for b in batches:
+            form = b.schema.field(0).type
+            for g, location, text in zip(*(c.to_pylist() for c in b.columns)):
+                if not began or g != key:
+                    if began:
+                        yield ended()
+                    key, digest, position, n, began = g, hashlib.md5(usedforsecurity=False), 0, 0, True
+                position += 1
+                if text is not None:
+                    digest.update(b"%s[%s]\n" % (RULE.encode() if n else b"", location or b"%d" % position))
+                    digest.update(text)
+                    n += 1
+        if began:
+            yield ended()
+
+    return dealt.mapInArrow(run, f"`{group}` {kind.simpleString()}, n_results long, context_md5 string")
+
+
 def build_messages(query: Column, context: Column, history: Column) -> Column:
     """System, the history's user and assistant messages that have content, and the question with its context."""
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))

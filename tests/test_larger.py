@@ -1,6 +1,9 @@
 """What larger tables brought up: queries on small tables with large keys, and plans against plain models."""
 
-from corvid.plans.catalog import QUERIES
+import duckdb
+from corvid.operators import rag
+from corvid.plans.catalog import ORACLES, QUERIES
+from pyspark.sql import functions as F
 
 
 def test_format_bytes_of_large_keys(spark, tmp_path):
@@ -8,3 +11,18 @@ def test_format_bytes_of_large_keys(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["event_id"]: r["size"] for r in QUERIES["format_bytes"](spark, str(tmp_path)).collect()}
     assert got == {k: f"{k * k * (1 + 100000 * (k % 4)) / 1024**p:.1f}{unit}" for k, p, unit in zip(keys, (4, 4, 2), ("TB", "TB", "MB"))}
+
+
+def test_context_streams_by(spark, tmp_path):
+    """No group's texts are gathered in a row; empty results count as positions, groups of nothing else have no row, as in the SQL, and a null id comes last."""
+    rows = [(6, " ", "fr", "s"), (5, "five  5", "en", "s"), (11, None, "en", "s"), (17, "src", "en", "s"), (None, "x", "en", "s"), (23, "null", None, "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["format_context"](spark, str(tmp_path))
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    sql = duckdb.connect()
+    sql.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got, by_lang = {tuple(r) for r in out.collect()}, lambda r: str(r[0])
+    assert sorted(got, key=by_lang) == sorted(sql.sql(ORACLES["format_context"]).fetchall(), key=by_lang) and len(got) == 2
+    whole = spark.createDataFrame([("a", k, "" if k % 3 else "Job 2", [f"t{k}", " "] if k % 4 else []) for k in range(1, 9)] + [("b", 1, None, [""])], "g string, position int, location string, chunks array<string>")
+    want = {tuple(r) for r in rag.format_context(whole, "g").select("g", F.md5("context")).collect()}
+    assert {(r["g"], r["context_md5"]) for r in rag.context_md5(whole.repartition(3), "g", F.col("position")).collect()} == want
