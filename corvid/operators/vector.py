@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,15 +31,103 @@ def in_categories(categories: Column, wanted: list[str]) -> Column:
     return F.exists(categories, lambda c: F.lower(c).isin([w.lower() for w in wanted]))
 
 
+#: Units of a document that are compared as one block with another block.
+BLOCK = 1024
+
+
+def _vectors(units: DataFrame) -> DataFrame:
+    return units.where("document_id is not null and index is not null and embedding is not null").select("document_id", "unit_id", F.col("index").cast("long").alias("index"), "embedding")
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """(document_id, name): how many blocks a document's rows make."""
+    return rows.groupBy("document_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+
+
+def _block(n: str) -> Column:
+    return F.pmod(F.xxhash64("unit_id", "index"), F.col(n)).cast("int")
+
+
 def semantic_edges(units: DataFrame, threshold: float) -> DataFrame:
     """(document_id, src, dst, weight) for i < j in a document whose cosine reaches the threshold."""
-    # Each vector's length is taken once, not for each pair.
-    units = units.withColumn("_norm", F.sqrt(inner_product(F.col("embedding"), F.col("embedding"))))
-    a, b = units.alias("a"), units.alias("b")
-    pairs = a.join(b, (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.index") < F.col("b.index")))
-    norm = F.col("a._norm") * F.col("b._norm")
-    alike = F.when((F.size("a.embedding") != F.size("b.embedding")) | (norm == 0), 0.0).otherwise(inner_product(F.col("a.embedding"), F.col("b.embedding")) / norm)
-    return pairs.select(F.col("a.document_id").alias("document_id"), F.col("a.unit_id").alias("src"), F.col("b.unit_id").alias("dst"), F.round(alike, 6).alias("weight")).where(F.col("weight") >= threshold)
+    rows = _vectors(units)
+    dealt = rows.join(_blocks(rows, "n"), "document_id").withColumn("b", _block("n")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    p, q = F.least("b", "o"), F.greatest("b", "o")
+    return _alike(dealt.select("document_id", p.alias("p"), q.alias("q"), (F.col("b") == p).alias("left"), (F.col("b") == q).alias("right"), "unit_id", "index", "embedding"), threshold)
+
+
+def edges_from(units: DataFrame, threshold: float) -> Callable[[DataFrame], DataFrame]:
+    """For the units of a front (id), (src, dst, weight) to all others of their documents whose cosine reaches the threshold: what semantic_edges has, in both directions, of those alone."""
+    rows = _vectors(units)
+
+    def edges(front: DataFrame) -> DataFrame:
+        near = rows.join(front.select(F.col("id").alias("unit_id")).distinct(), "unit_id", "left_semi")
+        blocks = _blocks(near, "f").join(_blocks(rows, "n"), "document_id")
+        own = near.join(blocks, "document_id").withColumn("p", _block("f")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        every = rows.join(blocks, "document_id").withColumn("q", _block("n")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("f") - 1)))
+        sides = [x.select("document_id", "p", "q", F.lit(left).alias("left"), F.lit(not left).alias("right"), "unit_id", "index", "embedding") for x, left in ((own, True), (every, False))]
+        return _alike(sides[0].unionByName(sides[1]), threshold, directed=True).select("src", "dst", "weight")
+
+    return edges
+
+
+def _alike(dealt: DataFrame, threshold: float, directed: bool = False) -> DataFrame:
+    """(document_id, src, dst, weight) of units (document_id, p, q, left, right, unit_id, index, embedding): those of a block pair (p, q) on its left with those on its right. Undirected, the smaller index is the source."""
+
+    def run(batches):
+        for parts in _runs(batches, 3):
+            t = pa.Table.from_batches(parts).combine_chunks()
+            left, right, index = (t[c].to_numpy() for c in ("left", "right", "index"))
+            x, size, holes = _matrix(t["embedding"].chunk(0))
+            a, b = np.flatnonzero(left), np.flatnonzero(right)
+            with np.errstate(all="ignore"):
+                length = np.sqrt((x * x).sum(1))
+                norm, same = np.outer(length[a], length[b]), size[a][:, None] == size[b]
+                cosine = np.where((norm == 0) | ~same, 0.0, x[a] @ x[b].T / norm)
+                # A little wide: the rounded weight decides. NaN counts as the greatest, as in SQL.
+                kept = ~(cosine < threshold - 1e-6) & ~(same & (holes[a][:, None] | holes[b]))
+            ia, ib = index[a][:, None], index[b]
+            kept &= ia < ib if t["p"][0] == t["q"][0] and not directed else ia != ib
+            i, j = np.nonzero(kept)
+            weight, i, j = cosine[i, j], a[i], b[j]
+            src, dst = (i, j) if directed else (np.where(index[i] < index[j], i, j), np.where(index[i] < index[j], j, i))
+            for k in range(0, len(i), 1 << 16):
+                s, d = (pa.array(v[k : k + (1 << 16)]) for v in (src, dst))
+                unit = t["unit_id"].chunk(0)
+                yield pa.RecordBatch.from_arrays([t["document_id"].chunk(0).take(s), unit.take(s), unit.take(d), pa.array(weight[k : k + (1 << 16)])], ["document_id", "src", "dst", "weight"])
+
+    kind = {c: dealt.schema[c].dataType.simpleString() for c in ("document_id", "unit_id")}
+    keys = ["document_id", "p", "q"]
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"document_id {kind['document_id']}, src {kind['unit_id']}, dst {kind['unit_id']}, weight double")
+    return found.withColumn("weight", F.round("weight", 6)).where(F.col("weight") >= threshold)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[list[pa.RecordBatch]]:
+    """Consecutive rows with the same first n columns."""
+    held, key = [], None
+    for batch in batches:
+        keys, start = list(zip(*(batch.column(c).to_pylist() for c in range(n)))), 0
+        for at, k in enumerate(keys):
+            if k != key:
+                if at > start:
+                    held.append(batch.slice(start, at - start))
+                if held:
+                    yield held
+                held, key, start = [], k, at
+        if start < len(keys):
+            held.append(batch.slice(start))
+    if held:
+        yield held
+
+
+def _matrix(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as rows, shorter ones filled with zeros; their lengths, and which of them hold a null."""
+    size, flat = vectors.value_lengths().to_numpy(zero_copy_only=False), vectors.flatten()
+    within = np.arange(max(size, default=0)) < size[:, None]
+    x, null = np.zeros(within.shape), np.zeros(within.shape, bool)
+    x[within] = flat.fill_null(0).to_numpy(zero_copy_only=False)
+    null[within] = flat.is_null().to_numpy(zero_copy_only=False)
+    return x, size, null.any(1)
 
 
 class Embedder(Protocol):

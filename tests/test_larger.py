@@ -1,7 +1,11 @@
 """What larger tables brought up: queries on small tables with large keys, and plans against plain models."""
 
+import math
+import random
+
 import duckdb
-from corvid.operators import rag
+import numpy as np
+from corvid.operators import rag, vector
 from corvid.plans.catalog import ORACLES, QUERIES
 from pyspark.sql import functions as F
 
@@ -26,3 +30,37 @@ def test_context_streams_by(spark, tmp_path):
     whole = spark.createDataFrame([("a", k, "" if k % 3 else "Job 2", [f"t{k}", " "] if k % 4 else []) for k in range(1, 9)] + [("b", 1, None, [""])], "g string, position int, location string, chunks array<string>")
     want = {tuple(r) for r in rag.format_context(whole, "g").select("g", F.md5("context")).collect()}
     assert {(r["g"], r["context_md5"]) for r in rag.context_md5(whole.repartition(3), "g", F.col("position")).collect()} == want
+
+
+def alike(rows, threshold):
+    """(document, i, j, weight) of all pairs of rows (document, id, index, vector), one at a time."""
+    out = set()
+    for d, u, i, x in rows:
+        for e, v, j, y in rows:
+            if d is None or d != e or x is None or y is None or not i < j:
+                continue
+            if len(x) != len(y):
+                w = 0.0
+            elif None in x or None in y:
+                continue
+            else:
+                norm = math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(a * a for a in y))
+                w = sum(a * b for a, b in zip(x, y)) / norm if norm else 0.0
+            if round(w, 6) >= threshold:
+                out.add((d, u, v, round(w, 6)))
+    return out
+
+
+def test_semantic_edges_by_blocks(spark, monkeypatch):
+    """Blocks meet each other and themselves once; odd vectors keep what pairs of rows give; no row is joined to a row."""
+    rng = random.Random(5)
+    rows = [("abc"[k % 3] if k % 7 else "a", f"u{k}", k // 2 if k < 4 else k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)]
+    rows += [("a", "short", 100, [1.0]), ("a", "zero", 101, [0.0] * 4), ("a", "hole", 102, [None, 1.0, 0.0, 0.0]), ("a", "none", 103, None), (None, "lost", 104, [1.0] * 4), ("a", "empty", 105, [])]
+    units = spark.createDataFrame(rows, "document_id string, unit_id string, index int, embedding array<float>")
+    rows = [(d, u, i, x and [a if a is None else float(np.float32(a)) for a in x]) for d, u, i, x in rows]
+    assert "CartesianProduct" not in (plan := vector.semantic_edges(units, 0.3)._jdf.queryExecution().executedPlan().toString()) and "MapInArrow" in plan
+    for block in (1024, 5):
+        monkeypatch.setattr(vector, "BLOCK", block)
+        for threshold in (0.3, -0.2):
+            got = [tuple(r) for r in vector.semantic_edges(units, threshold).collect()]
+            assert len(got) == len(set(got)) and set(got) == alike(rows, threshold)
