@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +67,18 @@ def connected(adjacency: DataFrame) -> DataFrame:
     return adjacency.groupBy(F.col("src").alias("chunk_id")).agg(order.alias("connected_chunk_ids"))
 
 
-def expand(adjacency: DataFrame, seeds: DataFrame, hops: int = 2, least: float | None = 0.5) -> DataFrame:
-    """(id, hop): what edges (src, dst, weight), those not under the least weight, reach from the seeds (id) in so many hops; seeds have hop 0."""
-    kept = (adjacency if least is None else adjacency.where(F.col("weight") >= least)).select("src", "dst")
+def expand(adjacency: DataFrame | Callable[[DataFrame], DataFrame], seeds: DataFrame, hops: int = 2, least: float | None = 0.5) -> DataFrame:
+    """(id, hop): what edges (src, dst, weight), those not under the least weight, reach from the seeds (id) in so many hops; seeds have hop 0.
+
+    The adjacency is a table of edges, or makes those of a front (id) when they are needed.
+    """
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     front = seen
     for hop in range(1, hops + 1):
-        front = front.join(kept, front["id"] == kept["src"]).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        edges = adjacency(front) if callable(adjacency) else adjacency
+        kept = (edges if least is None else edges.where(F.col("weight") >= least)).select("src", "dst")
+        reached = kept if callable(adjacency) else front.join(kept, front["id"] == kept["src"])
+        front = reached.select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
         seen = seen.unionByName(front)
     return seen
 

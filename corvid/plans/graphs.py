@@ -98,8 +98,7 @@ SEEDS = "s AS (SELECT vec_id AS id FROM embeddings WHERE label = 3)"
 
 def adjacency(t: Tables):
     rows = t.embeddings.select(F.col("label").alias("document_id"), F.col("vec_id").alias("unit_id"), F.col("vec_id").alias("index"), "embedding")
-    one = vector.semantic_edges(rows, 0.2).select("src", "dst", "weight")
-    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return vector.edges_from(rows, 0.2)
 
 
 def seeds(t: Tables):

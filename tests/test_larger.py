@@ -3,9 +3,10 @@
 import math
 import random
 
+import __spark_entry__  # noqa: F401  it registers the queries
 import duckdb
 import numpy as np
-from corvid.operators import rag, vector
+from corvid.operators import graph, rag, vector
 from corvid.plans.catalog import ORACLES, QUERIES
 from pyspark.sql import functions as F
 
@@ -64,3 +65,22 @@ def test_semantic_edges_by_blocks(spark, monkeypatch):
         for threshold in (0.3, -0.2):
             got = [tuple(r) for r in vector.semantic_edges(units, threshold).collect()]
             assert len(got) == len(set(got)) and set(got) == alike(rows, threshold)
+
+
+def test_expansion_by_fronts(spark, monkeypatch, tmp_path):
+    """A front meets its own documents alone; what it reaches is what all pairs would."""
+    monkeypatch.setattr(vector, "BLOCK", 4)
+    rng = random.Random(6)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(6)], k % 4) for k in range(50)] + [(50, None, 1), (51, [0.0] * 6, 2)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    units = table.select(F.col("label").alias("document_id"), F.col("vec_id").alias("unit_id"), F.col("vec_id").alias("index"), "embedding")
+    front = spark.createDataFrame([(0,), (13,), (13,), (50,), (99,)], "id long")
+    one = {(r["src"], r["dst"], r["weight"]) for r in vector.semantic_edges(units, 0.2).collect()}
+    both = one | {(b, a, w) for a, b, w in one}
+    got = [tuple(r) for r in vector.edges_from(units, 0.2)(front).collect()]
+    assert len(got) == len(set(got)) and set(got) == {e for e in both if e[0] in (0, 13)}
+    whole = graph.expand(spark.createDataFrame(sorted(both), "src long, dst long, weight double"), front, 2, 0.25).collect()
+    assert sorted(map(tuple, graph.expand(vector.edges_from(units, 0.2), front, 2, 0.25).collect())) == sorted(map(tuple, whole))
+    monkeypatch.setattr(vector, "semantic_edges", None)
+    table.where("embedding is not null").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert all(QUERIES[name](spark, str(tmp_path)).count() >= 4 for name in ("graph_expand", "expand_candidates"))
