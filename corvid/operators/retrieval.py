@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ def context_window(chunks: DataFrame, doc: str, order: list[Column], key: str =
     return chunks.withColumn("window_ids", F.collect_list(key).over(w))
 
 
-def expand_candidates(chunks: DataFrame, seeds: DataFrame, adjacency: DataFrame, order: list[Column], config: GraphConfig = GraphConfig(), intended: bool = True) -> DataFrame:
+def expand_candidates(chunks: DataFrame, seeds: DataFrame, adjacency: DataFrame | Callable[[DataFrame], DataFrame], order: list[Column], config: GraphConfig = GraphConfig(), intended: bool = True) -> DataFrame:
     """(id, is_seed): seeds, their neighbours in the text, and what the graph reaches.
 
     As intended, neighbours come from the whole document; otherwise only from among the seeds
