@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.config import ChunkConfig, GraphConfig
-from corvid.functions.text import keyword_tokens, sentences
+from corvid.functions.text import keyword_tokens, sentences, significant_tokens
 from corvid.operators import communities as C
 from corvid.operators.graph import keyword_top
 
@@ -90,6 +91,60 @@ def graph_chunks(units: DataFrame, edges: DataFrame, config: GraphConfig = Graph
     return grouped.select(gid.alias("id"), "document_id", gid.alias("graph_id"), F.array_join(F.transform("u", lambda x: x["text"]), " ").alias("content"), F.transform("u", lambda x: x["unit_id"]).alias("unit_ids"))
 
 
+def graph_chunks_of(docs: DataFrame, separator: str = "\n\n", config: GraphConfig = GraphConfig(), long: int = 400) -> DataFrame:
+    """(id, document_id, graph_id, content, unit_ids) of (id, content): what graph_chunks makes of the text units, with their structural, hierarchical (one section) and keyword edges.
+
+    A document stays one row until its chunks are made, so nothing is shuffled or joined.
+    """
+    trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    segments = F.filter(F.transform(F.split(F.coalesce("content", F.lit("")), re.escape(separator)), trim), lambda s: s != "")
+    # A trimmed segment that is not split is its only sentence.
+    units = F.flatten(F.transform(segments, lambda s: F.when(F.length(s) > long, sentences(s)).otherwise(F.array(s))))
+
+    @F.arrow_udf("array<array<int>>")
+    def groups(tokens: pa.Array) -> pa.Array:
+        out = []
+        for k in range(0, len(tokens), 256):
+            out += [unit_groups(words, config.resolution) for words in tokens.slice(k, 256).to_pylist()]
+        return pa.array(out, pa.list_(pa.list_(pa.int32())))
+
+    rows = docs.where("id is not null").select(F.col("id").alias("document_id"), units.alias("u")).withColumn("g", groups(F.transform("u", significant_tokens)))
+    text = lambda g: F.array_join(F.transform(g, lambda i: F.get(F.col("u"), i)), " ")
+    ids = lambda g: F.transform(g, lambda i: F.concat_ws("_unit_", "document_id", i.cast("string")))
+    chunks = rows.select("document_id", F.posexplode(F.transform("g", lambda g: F.struct(text(g).alias("content"), ids(g).alias("unit_ids")))).alias("community", "c"))
+    gid = F.concat_ws("_graph_", "document_id", F.col("community").cast("string"))
+    return chunks.select(gid.alias("id"), "document_id", gid.alias("graph_id"), "c.content", "c.unit_ids")
+
+
+def unit_groups(tokens: list[list[str]], resolution: float, most: int = 12, min_shared: int = 3, max_per_unit: int = 5) -> list[list[int]]:
+    """Communities of a document's units, given by their significant words: the edges are those of graph.structural_edges, hierarchical_edges in one section, and keyword_edges of unit_keywords, in the order that communities takes them in."""
+    n = len(tokens)
+    edges = [(i, j, 1.0) for i in range(n) for j in (i - 1, i + 1) if 0 <= j < n] + [(i, i + 1, 0.5) for i in range(n - 1)]
+    holders: dict[str, list[int]] = {}
+    for u, words in enumerate(tokens):
+        count: dict[str, int] = {}
+        for w in words:
+            count[w] = count.get(w, 0) + 1
+        # Sorting is stable: among equals the first used comes first.
+        for w in sorted(count, key=lambda w: (-count[w], -len(w)))[:most]:
+            holders.setdefault(w, []).append(u)
+    shared: dict[tuple[int, int], int] = {}
+    for units in holders.values():
+        for k, a in enumerate(units):
+            for b in units[k + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    near: dict[int, list[tuple[int, int]]] = {}
+    for (a, b), c in shared.items():
+        if c >= min_shared:
+            near.setdefault(a, []).append((c, b))
+            near.setdefault(b, []).append((c, a))
+    for a in sorted(near):
+        # Ties go to the later id, and ids end in the number as text.
+        best = sorted(near[a], key=lambda x: (x[0], str(x[1])), reverse=True)[:max_per_unit]
+        edges += sorted((a, b, round(min(0.6, 0.3 + 0.1 * c), 6)) for c, b in best)
+    return C.modularity(list(range(n)), edges, resolution)
+
+
 def communities(units: DataFrame, edges: DataFrame, config: GraphConfig = GraphConfig()) -> DataFrame:
     """(document_id, unit_id, community): one level of modularity moves in each document, whose units and edges come as one row; edges follow by type, then by their units' numbers."""
     rank = F.when(F.col("edge_type") == "structural", 0).when(F.col("edge_type") == "hierarchical", 1).when(F.col("edge_type") == "semantic", 2).otherwise(3)

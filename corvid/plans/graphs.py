@@ -154,7 +154,7 @@ def communities(t: Tables):
 
 @query()
 def graph_chunks(t: Tables):
-    return chunking.graph_chunks(units(t), edges(t))
+    return chunking.graph_chunks_of(t.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content")), "\n")
 
 
 @query()

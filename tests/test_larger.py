@@ -6,7 +6,7 @@ import random
 import __spark_entry__  # noqa: F401  it registers the queries
 import duckdb
 import numpy as np
-from corvid.operators import graph, rag, vector
+from corvid.operators import chunking, graph, rag, vector
 from corvid.plans.catalog import ORACLES, QUERIES
 from pyspark.sql import functions as F
 
@@ -84,3 +84,19 @@ def test_expansion_by_fronts(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(vector, "semantic_edges", None)
     table.where("embedding is not null").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert all(QUERIES[name](spark, str(tmp_path)).count() >= 4 for name in ("graph_expand", "expand_candidates"))
+
+
+def test_graph_chunks_of_documents(spark):
+    """No row leaves its document, and the chunks are those of tables of units and edges."""
+    rng = random.Random(7)
+    words = [f"{a}{b}" for a in ("north", "città", "Über", "this", "town", "bread") for b in ("", "ward", "land", "2")]
+    line = lambda: " ".join(rng.choice(words) + rng.choice(("", "", ".", "?")) for _ in range(rng.choice((2, 9, 90))))
+    docs = [(str(k), "\n".join(line() for _ in range(rng.choice((1, 4, 14))))) for k in range(12)] + [("e", ""), ("n", None), (None, "lost words here"), ("b", " \n \n a. \n\n.\n")]
+    docs = spark.createDataFrame(docs, "id string, content string")
+    u = chunking.text_units(docs, "\n")
+    e = graph.structural_edges(u).unionByName(graph.hierarchical_edges(u.withColumn("section", F.lit(None).cast("string")))).unionByName(graph.keyword_edges(graph.unit_keywords(u)))
+    assert e.where("edge_type = 'keyword'").count() > 50
+    out = chunking.graph_chunks_of(docs, "\n")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, chunking.graph_chunks(u, e).collect()))
+    assert "Exchange" not in QUERIES["graph_chunks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
