@@ -16,6 +16,8 @@ from corvid.llm.words import Chunk, Runs, chunks, mix, powers
 SHINGLE, SIMILAR, SAMPLES, MINIMA = 5, 0.8, 16, 3
 #: Texts of a block, where a key's texts are compared pair by pair, and the most bytes of it where texts are long.
 BLOCK, BLOCK_BYTES = 1024, 1 << 24
+#: Pairs whose keys are compared at once.
+LANES = 1 << 14
 #: Shingles that one matrix product counts.
 COLUMNS = 2048
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -199,16 +201,18 @@ def _linked(batch: pa.RecordBatch, least: float) -> pa.RecordBatch:
         if p[a] != q[a]:
             hit &= own[a:b][:, None] != own[a:b]
         x, y = np.nonzero(hit)
-        i.append(x + a), j.append(y + a), share.append(both[x, y] / total[x, y])
+        # Near copies share most keys: a pair is let go at once but under one of them, so that few are held.
+        mine = [once(own_keys, x[s : s + LANES] + a, y[s : s + LANES] + a, key[a : a + 1].view(np.uint64), _NONE) for s in range(0, len(x), LANES)]
+        mine = np.concatenate([np.zeros(0, bool), *mine])
+        x, y = x[mine], y[mine]
+        i.append((x + a).astype(np.int32)), j.append((y + a).astype(np.int32)), share.append(both[x, y] / total[x, y])
     i, j, share = np.concatenate(i), np.concatenate(j), np.concatenate(share)
     order = np.argsort(-share, kind="stable")
     i, j = i[order], j[order]
     ids, node = np.unique(batch.column("id").to_numpy(), return_inverse=True)
     root, one, other = list(range(len(ids))), [], []
-    for s in range(0, len(i), 1 << 14):
-        x, y = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-        mine = once(own_keys, x, y, key[x].view(np.uint64), _NONE)
-        for r, t in zip(x[mine].tolist(), y[mine].tolist(), strict=True):
+    for s in range(0, len(i), LANES):
+        for r, t in zip(i[s : s + LANES].tolist(), j[s : s + LANES].tolist(), strict=True):
             u, v = find(root, int(node[r])), find(root, int(node[t]))
             if u != v and similarity(words[word_at[r] : word_at[r + 1]], words[word_at[t] : word_at[t + 1]], least) >= least:
                 root[max(u, v)] = min(u, v)
